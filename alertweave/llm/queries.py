@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm import copies, overlaps, waves
+from alertweave.llm import copies, overlaps, packing, stuffing, tokens, waves
 from alertweave.operators import instants
 from alertweave.session import table
 
@@ -43,13 +43,41 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.link_counts(table(spark, d, ALERTS))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_waves, p5_found, p5_classes)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every document again from its ids."""
+    ids = p7_ids(spark, d)
+    return ids.select("doc_id", tokens.text_of(F.col("ids")).alias("text"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.found(table(spark, d, "documents"))
+
+
+def p9_scored(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.scored(table(spark, d, "documents"))
+
+
+_ALL = (p3_found, p3_collapsed, p4_found, p4_waves, p5_found, p5_classes, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_scored)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _BARE = r"regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _USERS = f"list_sort(list_filter([{_BARE.format('x')} for x in coalesce(entity_users, [])], x -> x <> ''))"
 _PLAIN = "list_sort(list_filter(coalesce({}, []), x -> x is not null and x <> ''))"
 
 SQL = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_collapsed": f"""SELECT min(row_id) AS rec_id, count(*) AS n_copies FROM real_alerts_clustered WHERE len({_USERS}) > 0
         GROUP BY coalesce(decoder_name, ''), coalesce(rule_id, ''), "count", coalesce(first_seen, ''), coalesce(last_seen, ''),
         {_PLAIN.format('entity_ips')}, {_PLAIN.format('entity_hosts')}, {_BARE.format('rule_description')}, {_USERS}""",
