@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertweave.llm import copies, overlaps, packing, stuffing, tokens, waves
+from alertweave.llm import copies, entities, overlaps, packing, stuffing, tokens, waves
 from alertweave.operators import instants
 from alertweave.session import table
 
@@ -16,6 +16,15 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
     return instants.zone_table(table(spark, d, "agent_zones"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.found(table(spark, d, ALERTS), table(spark, d, "asset_inventory"))
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = entities.matches(table(spark, d, ALERTS), table(spark, d, "asset_inventory"))
+    return m.select("row_id", "asset_id", F.round("confidence", 6).alias("confidence"), "agree")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     a = copies.alert_copies(table(spark, d, ALERTS), _zones(spark, d)).withColumn("table_name", F.lit(ALERTS))
     b = copies.line_copies(table(spark, d, "alert_lines")).withColumn("table_name", F.lit("alert_lines"))
@@ -69,7 +78,7 @@ def p9_scored(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.scored(table(spark, d, "documents"))
 
 
-_ALL = (p3_found, p3_collapsed, p4_found, p4_waves, p5_found, p5_classes, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_scored)
+_ALL = (p2_found, p2_matches, p3_found, p3_collapsed, p4_found, p4_waves, p5_found, p5_classes, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_scored)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _BARE = r"regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
