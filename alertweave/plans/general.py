@@ -48,7 +48,7 @@ _BLANKS = "||".join(f"chr({i})" for i in (32, 9, 10, 11, 12, 13, 28, 29, 30, 31,
 
 
 def _entries(c: str) -> str:
-    return f"list_distinct(list_filter([lower(trim(x, {_BLANKS})) for x in coalesce({c}, [])], x -> x is not null and x <> ''))"
+    return f"list_distinct(list_filter([lower(trim(x, {_BLANKS})) for x in coalesce({c}, [])], lambda x: x is not null and x <> ''))"
 
 
 _LISTED = f"""
