@@ -82,8 +82,8 @@ _ALL = (p2_found, p2_matches, p3_found, p3_collapsed, p4_found, p4_waves, p5_fou
 QUERIES = {f.__name__: f for f in _ALL}
 
 _BARE = r"regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
-_USERS = f"list_sort(list_filter([{_BARE.format('x')} for x in coalesce(entity_users, [])], x -> x <> ''))"
-_PLAIN = "list_sort(list_filter(coalesce({}, []), x -> x is not null and x <> ''))"
+_USERS = f"list_sort(list_filter([{_BARE.format('x')} for x in coalesce(entity_users, [])], lambda x: x <> ''))"
+_PLAIN = "list_sort(list_filter(coalesce({}, []), lambda x: x is not null and x <> ''))"
 
 SQL = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
