@@ -241,3 +241,6 @@ SQL |= {
     "multi_hot": f"""WITH {_VOCAB}, x AS (SELECT row_id, unnest({H}) AS item FROM alerts), h AS (SELECT row_id, array_to_string(list(CAST(rnk AS VARCHAR) ORDER BY rnk), ',') AS hot FROM x JOIN vocab USING (item) GROUP BY 1) SELECT row_id, coalesce(hot, '') AS hot FROM alerts LEFT JOIN h USING (row_id)""",
     "one_hot_topk": "WITH t AS (SELECT rule_id FROM real_alerts_clustered WHERE rule_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, rule_id LIMIT 10) SELECT coalesce(t.rule_id, '__other__') AS rule_id_hot, count(*) AS n FROM real_alerts_clustered a LEFT JOIN t ON t.rule_id = a.rule_id GROUP BY 1",
 }
+
+SQL["ip_extract_docs"] = rf"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '@([0-9A-Fa-f:.]+)', 1) AS found FROM documents WHERE contains(text, '@'))
+SELECT doc_id, nullif(regexp_extract(text, '@(\d{{1,3}}(\.\d{{1,3}}){{3}})', 1), '') AS first_ip, array_to_string([('ip:' || x) for x in list_filter(found, lambda x: regexp_matches(x, '{V4}') AND NOT starts_with(x, '127.') AND x NOT IN ('0.0.0.0', '255.255.255.255'))], ',') AS all_ips FROM d"""
