@@ -22,10 +22,8 @@ def ndjson(spark: SparkSession, path: str, max_lines: int | None = None) -> Data
     Blank lines don't count.  Lines are split on bytes, so one that isn't UTF-8 spoils no other.  ``max_lines`` keeps
     the first lines in order of the files.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    raw = F.encode(F.col("value"), "ISO-8859-1")
-    df = lines.where(F.trim("value") != "").select(raw.alias("bytes"), F.monotonically_increasing_id().alias("line_no"))
-    df = df.withColumn("raw", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))
+    lines = spark.read.text(path)  # bytes as they are
+    df = lines.where(F.trim("value") != "").select(F.when(F.is_valid_utf8("value"), F.col("value")).alias("raw"), F.monotonically_increasing_id().alias("line_no"))
     ok = F.try_parse_json("raw").isNotNull()
     df = df.select("line_no", "raw", F.when(F.col("raw").isNull(), "undecodable").when(ok, "ok").otherwise("bad").alias("status"))
     return df if max_lines is None else df.orderBy("line_no").limit(max_lines)
