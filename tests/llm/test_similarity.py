@@ -73,6 +73,13 @@ def test_all_pairs_of_rows(alerts, monkeypatch, chunk):
     assert overlaps.all_pairs(df.limit(0)).count() == 0
 
 
+def test_many_copies_are_linked_to_their_representative(alerts, monkeypatch):
+    monkeypatch.setattr(overlaps, "LARGE", 5)
+    df = alerts(*([{"entity_users": list("abcdef")}] * 8 + [{"entity_users": list("abcdefg")}] * 2))
+    got = {(r.row_id_a, r.row_id_b) for r in overlaps.all_pairs(df).collect()}
+    assert got == {(1, i) for i in range(2, 11)} | {(9, 10)}
+
+
 def wave_rows():
     t = lambda m: f"2025-10-01T{m // 60:02d}:{m % 60:02d}:00Z"
     w = lambda users, minute, **k: {"entity_users": users, "first_seen": t(minute), "entity_ips": ["10.0.0.1"]} | k
