@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from alertweave.session import materialise
 
 LARGEST = 200_000  # edges of a component that one task optimises; larger ones propagate labels
+BATCH = 100_000  # edges of small components that a task takes together, about
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node of it); ``nodes``: node, ``edges``: a, b.
+    """node, component (the smallest node of it); ``nodes``: node, ``edges``: a, b between them.
 
     Alternating rounds of hooking to the smallest neighbour and pointer doubling; labels are written out each round,
     so lineage stays short and a lost executor costs a round.  Ends when no label changes.
     """
     ends = materialise(edges.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))).where("src <> dst").distinct())
-    labels = materialise(nodes.select("node", F.col("node").alias("component")).distinct())
+    labels = materialise(ends.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())  # nodes without edges keep themselves
     for _ in range(most_rounds):
         offered = ends.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("least"))
         hooked = labels.join(offered, F.col("node") == F.col("src"), "left").select("node", "component", F.least("component", F.coalesce("least", "component")).alias("next"))
@@ -30,7 +31,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
         new = materialise(moved.join(jump, F.col("component") == F.col("up"), "left").select("node", "was", F.least("component", F.coalesce("higher", "component")).alias("component")))
         labels = new.select("node", "component")
         if new.where("was <> component").isEmpty():
-            return labels
+            out = nodes.select(F.col("node").alias("id")).distinct().join(labels, F.col("id") == F.col("node"), "left")
+            return out.select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
@@ -113,7 +115,9 @@ def detect_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = pd.Series(ids).groupby(label).min()
         return pd.DataFrame({"node": ids, "community": least.loc[label].to_numpy()})
 
-    found = small.groupBy("component").applyInPandas(best, "node bigint, community bigint").unionByName(propagated(large.select("a", "b", "w")))
+    # components don't interact, so a task optimises many of them as one graph
+    batches = max(1, -(-edges.count() // BATCH))
+    found = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(batches))).applyInPandas(best, "node bigint, community bigint").unionByName(propagated(large.select("a", "b", "w")))
     alone = F.when(F.coalesce("has_entity", F.lit(False)), F.col("node")).otherwise(F.lit(-1))
     return nodes.join(found, "node", "left").select("node", F.coalesce("community", alone).cast("bigint").alias("community"))
 

@@ -23,9 +23,8 @@ def entity_pairs(listed: DataFrame, cap: int = POSTINGS) -> DataFrame:
     """
     few = listed.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("entity")
     post = listed.join(few, "entity", "left_semi").groupBy("entity").agg(F.array_sort(F.collect_set("row_id")).alias("ids"))
-    ids = F.col("ids")
-    pairs = F.flatten(F.transform(ids, lambda x, i: F.transform(F.slice(ids, i + 2, F.size(ids)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return post.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    first = post.select("ids", F.posexplode("ids").alias("i", "a"))
+    return first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def edge_gaps(pairs: DataFrame, times: DataFrame) -> DataFrame:
