@@ -27,7 +27,7 @@ def one(spark, c):
 def test_small_functions(spark):
     lit = F.lit
     assert one(spark, N.incident_base(lit("inc-7-0a1b2c3d"))) == "inc-7"
-    assert one(spark, N.identity_key(lit("user:tfm-s08_carlos@x"))) == "tfm s08 carlos"
+    assert one(spark, N.identity_key(lit("user:lab-s08_ann@x"))) == "lab s08 ann"
     assert one(spark, N.strip_fence(lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
     assert [one(spark, N.tau_label(lit(x))) for x in (7200.0, 5400.0, 300.0, 10.0)] == ["2 h", "1.5 h", "5 min", "10 s"]
     assert one(spark, N.ips_after_at(lit("a@10.0.0.1 b@999.1.1.1 c@127.0.0.1"))) == ["ip:10.0.0.1"]
