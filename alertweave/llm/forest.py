@@ -77,17 +77,11 @@ def _runs(grown: DataFrame) -> DataFrame:
     return grown.groupBy("tree", "prefix").agg(F.count("*").alias("n"))
 
 
-def _pairs_in(ids: Column) -> Column:
-    """All (smaller, larger) pairs of a sorted array."""
-    return F.flatten(
-        F.transform(ids, lambda x, i: F.transform(F.slice(ids, i + 2, F.size(ids)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    )
-
-
 def _neighbours(grown: DataFrame, full: DataFrame) -> DataFrame:
     """a, b: pairs of classes of neighbourhoods that aren't full."""
     small = grown.join(full, ["tree", "prefix"], "left_anti").groupBy("tree", "prefix").agg(F.array_sort(F.collect_list("cid")).alias("ids"))
-    return small.where(F.size("ids") > 1).select(F.inline(_pairs_in(F.col("ids"))))
+    first = small.where(F.size("ids") > 1).select("ids", F.posexplode("ids").alias("i", "a"))
+    return first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
 
 
 def _blocks(grown: DataFrame, full: DataFrame) -> DataFrame:
