@@ -4,7 +4,9 @@ Each text is cut into segments (lines and sentences).  A segment is a sentence a
 words, several function words of a language and isn't repeated in the text; all else is list.  The list density
 of a page is the share of its words outside sentences.  The five-word phrases of the list parts of all pages are
 exploded and the distinct hosts of each phrase counted; a page is stitched as far as its list phrases occur on
-several hosts.  List density joined with that share gives the score.
+several hosts.  Notes are stitched too, from common sentences, so a replicated phrase says what the pages that carry
+it are: the score is the mean of the page's own list density and, weighted by the share of its list words in such
+phrases, theirs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ WORDS = 5  # of a phrase
 HOSTS = 3  # a phrase on as many hosts is replicated
 LEAST_WORDS = 8  # fewer words are no page
 SCORE = 0.66
-STITCHED = 0.15  # weight of the replicated share beside the list density
 
 #: Function words of English, Spanish, French and German.
 FUNCTION_WORDS = frozenset(
@@ -87,10 +88,14 @@ def replicated(pages_: DataFrame, hosts: int = HOSTS) -> DataFrame:
     """phrase: list phrases on at least ``hosts`` distinct hosts (null is no host).
 
     (phrase, host) is made distinct before hosts are counted, both combined on the map side, so a phrase of a third
-    of all pages costs its task no more than its hosts.
+    of all pages costs its task no more than its hosts.  If the pages have list_density, that of the phrase comes too:
+    the mean over its hosts of the mean over their pages, so that no host outweighs others by repeats.
     """
-    by_host = pages_.where(F.col("host").isNotNull()).select(F.explode("phrases").alias("phrase"), "host").distinct()
-    return by_host.groupBy("phrase").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= hosts).select("phrase")
+    dense = "list_density" in pages_.columns
+    long = pages_.where(F.col("host").isNotNull()).select(F.explode("phrases").alias("phrase"), "host", *(["list_density"] if dense else []))
+    by_host = long.groupBy("phrase", "host").agg(F.avg("list_density").alias("list_density")) if dense else long.distinct()
+    kept = [F.avg("list_density").alias("phrase_density")] if dense else []
+    return by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), *kept).where(F.col("hosts") >= hosts).drop("hosts")
 
 
 def scored(documents: DataFrame) -> DataFrame:
@@ -100,14 +105,15 @@ def scored(documents: DataFrame) -> DataFrame:
     list phrases is stitched 0.  The join with the replicated phrases is by phrase; a phrase on very many pages
     is one row on its other side, and Spark splits such a partition of the pages' side.
     """
-    p = materialise(pages(documents))
-    marked = p.select("doc_id", F.explode("phrases").alias("phrase")).join(replicated(p), "phrase").groupBy("doc_id").agg(F.count("*").alias("hit"))
-    df = p.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("prose").alias("prose"), F.max(F.size("phrases")).alias("n_phrases"), F.count("*").alias("rows")).join(marked, "doc_id", "left")
     density = F.when(F.col("words") > 0, 1 - F.col("prose") / F.col("words")).otherwise(0.0)
+    p = materialise(pages(documents).withColumn("list_density", density))
+    marked = p.select("doc_id", F.explode("phrases").alias("phrase")).join(replicated(p), "phrase").groupBy("doc_id").agg(F.count("*").alias("hit"), F.avg("phrase_density").alias("around"))
+    df = p.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("list_density").alias("list_density"), F.max(F.col("words") - F.col("prose")).alias("listed"), F.max(F.size("phrases")).alias("n_phrases"), F.count("*").alias("rows")).join(marked, "doc_id", "left")
     stitched = F.when(F.col("n_phrases") > 0, F.least(F.lit(1.0), F.coalesce("hit", F.lit(0)) / (F.col("n_phrases") * F.col("rows")))).otherwise(0.0)
-    return df.select("doc_id", "words", density.alias("list_density"), stitched.alias("stitched")).withColumn(
-        "score", F.when(F.col("words") >= LEAST_WORDS, F.col("list_density") + STITCHED * F.col("stitched")).otherwise(0.0)
-    )
+    # few phrases beside many links or repeats say little of the page
+    weight = F.least(F.lit(1.0), F.coalesce("hit", F.lit(0)) / (F.greatest(F.lit(1), F.col("listed") - WORDS + 1) * F.col("rows")))
+    score = (F.col("list_density") + weight * F.coalesce("around", F.lit(0.0))) / (1 + weight)
+    return df.withColumn("stitched", stitched).withColumn("score", F.when(F.col("words") >= LEAST_WORDS, score).otherwise(0.0)).select("doc_id", "words", "list_density", "stitched", "score")
 
 
 def found(documents: DataFrame, least: float = SCORE) -> DataFrame:

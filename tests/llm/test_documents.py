@@ -86,3 +86,18 @@ def test_phrases_count_distinct_hosts(spark):
     p = spark.createDataFrame([("a", [1, 2]), ("a", [1]), ("b", [1, 3]), ("c", [1, 3]), (None, [3])], "host string, phrases array<bigint>")
     assert {r.phrase for r in stuffing.replicated(p, 3).collect()} == {1}
     assert {r.phrase for r in stuffing.replicated(p, 2).collect()} == {1, 3}
+
+
+def test_replicated_phrases_decide_both_ways(spark):
+    """A half list of phrases that full lists carry is a case; one of phrases that notes carry is none."""
+    junk = " ".join(f"cheap vpn offer {x} backup" for x in ("best", "free", "online", "trial", "review", "price"))
+    common = "sensor seen late today again"
+    seen = "\n".join(f"{common} {x}" for x in ("alpha", "beta", "gamma", "delta", "echo"))
+    notes = " ".join(f"The owner of the {x} told us that it was moved to the office before the alert was raised." for x in ("router", "laptop", "printer", "server", "phone", "tablet", "gateway", "proxy"))
+    half = " ".join(f"The owner of the {x} told us that it was moved to the office before the alert." for x in ("router", "printer"))
+    most = "\n".join([seen, "The sensor was late and we told the owner of it."])
+    texts = [(f"{junk}", h) for h in "abcdefgh"] + [(f"{notes}\n{seen}", h) for h in "abcdefgh"] + [(f"{half}\n{junk}", "i"), (most, "j")]
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(texts)], "doc_id bigint, text string, source string")
+    scores = {r.doc_id: r for r in stuffing.scored(df).collect()}
+    assert scores[16].list_density < 0.51 and scores[17].list_density > stuffing.SCORE
+    assert {i for i in scores if scores[i].score >= stuffing.SCORE} == {*range(8), 16}
