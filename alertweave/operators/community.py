@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertweave.session import materialise
 
-LARGEST = 200_000  # edges of a component that one task optimises; larger ones propagate labels
+LARGEST = 200_000  # edges of a component that one task optimises; larger ones are optimised in blocks of as many
 BATCH = 100_000  # edges of small components that a task takes together, about
 
 
@@ -36,20 +38,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
-def louvain(ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float) -> np.ndarray:
+def louvain(ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, degree: np.ndarray | None = None, bar: np.ndarray | None = None) -> np.ndarray:
     """A community (index of a member) for each of ``ids``; edges between positions, ``total`` the weight of the whole graph.
 
     Nodes move in order of id to the community of largest gain until none gains, communities become nodes, and so on.
+    ``degree`` is that of the nodes in the whole graph, if they have edges to others as well; ``bar`` the best gain that
+    those offer: a node with less here stays, and communities don't become nodes.
     """
     n = len(ids)
     place = np.arange(n)
-    loops = np.zeros(n)
     while True:
         near: list[dict[int, float]] = [{} for _ in range(n)]
         for x, y, z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
             near[x][y] = near[x].get(y, 0.0) + z
             near[y][x] = near[y].get(x, 0.0) + z
-        degree = np.array([sum(m.values()) for m in near]) + 2 * loops
+        degree = np.array([sum(m.values()) for m in near]) if degree is None else degree
         community, mass = list(range(n)), degree.copy()
         moved = any_move = True
         any_move = False
@@ -66,18 +69,18 @@ def louvain(ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, total:
                     g = links[k] - mass[k] * degree[v] / (2 * total)
                     if g > gain + 1e-12:
                         best, gain = k, g
+                if bar is not None and gain < bar[v]:
+                    best = c
                 mass[best] += degree[v]
                 if best != c:
                     community[v], moved, any_move = best, True, True
         names, new = np.unique(np.array(community, dtype=np.int64), return_inverse=True)
         place = new[place]
-        if not any_move or len(names) == n:
+        if not any_move or len(names) == n or bar is not None:
             return place
-        inner = np.bincount(new, loops, len(names))
         ca, cb = new[a], new[b]
-        inner += np.bincount(ca[ca == cb], w[ca == cb], len(names))
         pairs = pd.DataFrame({"a": np.minimum(ca, cb), "b": np.maximum(ca, cb), "w": w})[ca != cb].groupby(["a", "b"], as_index=False)["w"].sum()
-        a, b, w, loops, n = pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["w"].to_numpy(), inner, len(names)
+        a, b, w, degree, n = pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["w"].to_numpy(), np.bincount(new, degree, len(names)), len(names)
 
 
 def modularity(labels: DataFrame, edges: DataFrame) -> float:
@@ -92,11 +95,87 @@ def modularity(labels: DataFrame, edges: DataFrame) -> float:
     return inner / m - (strength.agg(F.sum(F.pow(F.col("k") / (2 * m), F.lit(2)))).first()[0])
 
 
+def _optimised(total: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """node, community (smallest node of it) of the edges a, b, w.
+
+    With ka, kb (degrees in the whole graph) and the groups ga, gb of the ends, those of group g: edges to other
+    groups only tell a node what it would gain there.
+    """
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        degree = bar = None
+        outside = pdf[pdf["ga"] != pdf["gb"]] if "ga" in pdf else None
+        if outside is not None:
+            pdf = pdf[pdf["ga"] == pdf["gb"]]
+        pdf = pdf.sort_values(["a", "b"])
+        ids, first, inverse = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_index=True, return_inverse=True)
+        k = len(pdf)
+        if outside is not None:
+            degree = np.concatenate([pdf["ka"], pdf["kb"]])[first] if k else np.zeros(0)
+        if outside is not None and len(outside):
+            mine = np.where(outside["ga"] == outside["g"], outside["a"], outside["b"])
+            gain = (outside["w"] - outside["ka"] * outside["kb"] / (2 * total)).to_numpy()
+            bar = pd.Series(gain).groupby(mine).max().reindex(ids, fill_value=-np.inf).to_numpy()
+        label = louvain(ids, inverse[:k], inverse[k:], pdf["w"].to_numpy(), total, degree, bar) if k else np.zeros(0, dtype=np.int64)
+        least = pd.Series(ids).groupby(label).min()
+        return pd.DataFrame({"node": ids.astype(np.int64), "community": least.loc[label].to_numpy().astype(np.int64)})
+
+    return best
+
+
+def paired(block: Column, n: int, turn: int) -> Column:
+    """The group of a block (0 to n - 1) in a turn: in turns 1 to n - 1 (n if n is odd) every two blocks meet once; in turn 0 none."""
+    if turn == 0 or n < 2:
+        return block
+    m = n + n % 2 - 1  # the circle method: block m stays, the others turn
+    other = F.pmod(F.lit(2 * turn) - block, F.lit(m))
+    fixed = turn % m
+    return F.when(block == m, F.lit(fixed)).when(block == fixed, F.lit(fixed)).otherwise(F.least(block, other))
+
+
+def in_blocks(edges: DataFrame, total: float, batch: int | None = None) -> DataFrame:
+    """node, community (smallest node of it) by Louvain over edges a, b, w too many for a task.
+
+    Nodes are cut into blocks, ranges of ids with about ``batch`` edges each, and a task moves the nodes inside its
+    block by their degrees in the whole graph: communities of different blocks share no node, so their gains are exact
+    and add up.  A node that a neighbour elsewhere offers more waits for it.  Communities become nodes; then the blocks
+    meet in pairs, turn by turn, larger ones as the graph shrinks.  Ends when every two blocks have met since the last
+    move: no move anywhere gains.
+    """
+    batch = batch or LARGEST
+    graph, best = materialise(edges), _optimised(total)
+    place = graph.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node"))
+    degrees = materialise(graph.select(F.inline(F.array(F.struct(F.col("a").alias("node"), "w"), F.struct(F.col("b").alias("node"), "w")))).groupBy("node").agg(F.sum("w").alias("k")))
+    least, turn, quiet, cuts, n = 0, 0, 0, [], 0
+    while count := graph.count():
+        if not n or count <= least:
+            n = max(1, -(-count // batch))
+            shares = [i / n for i in range(1, n)]
+            cuts = graph.select(F.explode(F.array("a", "b")).alias("x")).agg(F.percentile_approx("x", shares, 100 * n)).first()[0] if shares else []
+            least, turn, quiet = count * 2 // 3, min(turn, 1), 0
+        block = lambda c: F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda x: x < c)) if cuts else F.lit(0)  # noqa: E731, B023
+        sides = [degrees.select(F.col("node").alias(c), F.col("k").alias(f"k{c}"), paired(block(F.col(c)), n, turn).alias(f"g{c}")) for c in "ab"]
+        ends = graph.join(sides[0], "a").join(sides[1], "b")
+        inner = ends.withColumn("g", F.explode(F.array_distinct(F.array("ga", "gb"))))
+        moved = materialise(inner.groupBy("g").applyInPandas(best, "node bigint, community bigint").where("node <> community"))
+        if moved.isEmpty():
+            quiet += turn > 0 or n == 1
+            if quiet >= (n - 1 + n % 2 if n > 1 else 1):
+                break
+        else:
+            quiet = 0
+            to = lambda df, c: df.join(moved.select(F.col("node").alias(c), F.col("community").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: E731, B023
+            graph = to(to(graph, "a"), "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
+            graph, degrees, place = materialise(graph), materialise(to(degrees, "node").groupBy("node").agg(F.sum("k").alias("k"))), materialise(to(place, "community"))
+        turn = turn % (n - 1 + n % 2) + 1 if n > 1 else 1
+    return place
+
+
 def detect_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, community (smallest node of it) of ``nodes`` (node, has_entity) and ``edges`` (a, b, w); -1: noise.
 
     Louvain inside each component, with the whole graph's weight, since no move crosses components.  Components of
-    more than LARGEST edges would not fit a task; their nodes take labels by propagation instead.  A node without edges
+    more than LARGEST edges don't fit a task; :func:`in_blocks` moves their nodes in several.  A node without edges
     keeps its own community if it has an entity, else it is noise.
     """
     edges = materialise(edges.select("a", "b", F.col("w").cast("double").alias("w")))
@@ -106,34 +185,15 @@ def detect_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = placed.groupBy("component").agg(F.count("*").alias("n_edges"))
     small = placed.join(sizes.where(F.col("n_edges") <= LARGEST).select("component"), "component", "left_semi")
     large = placed.join(sizes.where(F.col("n_edges") > LARGEST).select("component"), "component", "left_semi")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        ids, inverse = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        k = len(pdf)
-        label = louvain(ids, inverse[:k], inverse[k:], pdf["w"].to_numpy(), total)
-        least = pd.Series(ids).groupby(label).min()
-        return pd.DataFrame({"node": ids, "community": least.loc[label].to_numpy()})
+    blocks = in_blocks(large.select("a", "b", "w"), total)
 
     # components don't interact, so a task optimises many of them as one graph
     batches = max(1, -(-edges.count() // BATCH))
-    found = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(batches))).applyInPandas(best, "node bigint, community bigint").unionByName(propagated(large.select("a", "b", "w")))
+    found = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(batches))).applyInPandas(_optimised(total), "node bigint, community bigint").unionByName(blocks)
     alone = F.when(F.coalesce("has_entity", F.lit(False)), F.col("node")).otherwise(F.lit(-1))
     return nodes.join(found, "node", "left").select("node", F.coalesce("community", alone).cast("bigint").alias("community"))
 
 
-def propagated(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, community by synchronous label propagation: the label of most weight around, ties to the smaller one."""
-    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))))
-    labels = ends.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
-    if ends.isEmpty():
-        return labels
-    for _ in range(rounds):
-        votes = ends.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
-        labels = materialise(votes.groupBy("src").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("community")).withColumnRenamed("src", "node"))
-    return labels
-
-
 def relabelled(labels: DataFrame) -> DataFrame:
     """node, community numbered 0, 1, ... in order of the old label; noise stays -1.
 

@@ -257,3 +257,28 @@ def test_louvain_on_bridged_cliques():
     w[-1] = 0.1
     label = community.louvain(np.arange(8), a, b, w, w.sum())
     assert len(set(label[:4])) == 1 and len(set(label[4:])) == 1 and label[0] != label[7]
+
+
+def test_every_two_blocks_meet(spark):
+    for n in (2, 3, 5, 6):
+        met = set()
+        for turn in range(1, n + n % 2):
+            groups: dict[int, list[int]] = {}
+            for r in spark.range(n).select("id", community.paired(F.col("id").cast("int"), n, turn).alias("g")).collect():
+                groups.setdefault(r.g, []).append(r.id)
+            assert all(len(g) <= 2 for g in groups.values())
+            met |= {tuple(sorted(g)) for g in groups.values() if len(g) == 2}
+        assert met == set(itertools.combinations(range(n), 2))
+
+
+def test_large_components_get_louvain_too(spark, monkeypatch):
+    """Cliques in a ring, with members far apart by id: more edges than a task takes, the same communities."""
+    n, k = 12, 6
+    ring = [(i + n * x, i + n * y, 1.0) for i in range(n) for x, y in itertools.combinations(range(k), 2)] + [(min(i, (i + 1) % n), max(i, (i + 1) % n), 0.4) for i in range(n)]
+    edges = spark.createDataFrame(ring, "a bigint, b bigint, w double")
+    nodes = spark.range(n * k).select(F.col("id").alias("node"), F.lit(True).alias("has_entity"))
+    one = rows(community.detect_communities(nodes, edges), "node", "community")
+    monkeypatch.setattr(community, "LARGEST", 60)
+    many = community.detect_communities(nodes, edges)
+    assert rows(many, "node", "community") == {(v, v % n) for v in range(n * k)} == one
+    assert abs(community.modularity(many, edges) - (sum(w for *_, w in ring[:-n]) / sum(w for *_, w in ring) - 1 / n)) < 1e-9
