@@ -216,11 +216,21 @@ def _strong(spark, d):
     return graph.weighted(_edges(spark, d), "exponential", 3600.0, min_weight=1.0)
 
 
+def _linked(spark, d):
+    """The reference's graph: one shared entity is enough, no least weight."""
+    return graph.weighted(_edges(spark, d), "exponential", 3600.0)
+
+
 def connected_components(spark, d):
     nodes = _alerts(spark, d).select(F.col("row_id").alias("node"))
     return community.connected_components(nodes, _strong(spark, d))
 
 
+def connected_components_linked(spark, d):
+    nodes = _alerts(spark, d).select(F.col("row_id").alias("node"))
+    return community.connected_components(nodes, _linked(spark, d))
+
+
 def _placed(spark, d):
     a = _alerts(spark, d)
     lo = T.epoch_seconds(F.col("alert_ts"))
@@ -235,9 +245,17 @@ def consolidate_small(spark, d):
     return community.relabelled(community.consolidate(_placed(spark, d), 30))
 
 
-def louvain_communities(spark, d):
+def _communities(spark, d, edges):
     nodes = _alerts(spark, d).select(F.col("row_id").alias("node"), (F.size(_entities()) > 0).alias("has_entity"))
-    return community.detect_communities(nodes, _strong(spark, d))
+    return community.detect_communities(nodes, edges)
+
+
+def louvain_communities(spark, d):
+    return _communities(spark, d, _linked(spark, d))
+
+
+def louvain_strong(spark, d):
+    return _communities(spark, d, _strong(spark, d))
 
 
 def cluster_summary(spark, d):
@@ -450,8 +468,8 @@ QUERIES = {
     for f in (
         dedup_hourly, reduction_kpis, repetition_analysis, freq_tables, field_coverage, entity_cardinality, stratum_share, hash_sample, time_reassign, predicates_null_semantics,
         user_norm, ip_norm, host_norm, ip_extract_docs, match_forms, alias_assign, pseudonymised_users, asset_map, asset_stats, asset_resolve, user_alias_groups,
-        promiscuous_entities, bridge_filter, entity_pairs, edge_stats, dt_quantiles, tau_sweep_edges, connected_components, overlapping_communities, consolidate_small,
-        louvain_communities, cluster_summary, community_summary, heavy_entities, community_docs, run_summary, bridge_entities, cluster_breakdown, cross_source, entity_coverage,
+        promiscuous_entities, bridge_filter, entity_pairs, edge_stats, dt_quantiles, tau_sweep_edges, connected_components, connected_components_linked, overlapping_communities, consolidate_small,
+        louvain_communities, louvain_strong, cluster_summary, community_summary, heavy_entities, community_docs, run_summary, bridge_entities, cluster_breakdown, cross_source, entity_coverage,
         volume_timeline, size_histogram, log_histogram, triage_context, triage_heuristic, scenario_verdict, scenario_dispersion, first_scenario, ab_compare, ari_vmeasure,
         cohesion_purity, ami_score, level_over_repetitions, phase_pivot, coverage_topk, multi_hot, one_hot_topk, zscore_features, dbscan_embeddings, kmeans_embeddings,
         agglomerative_embeddings, hdbscan_embeddings, pca_features, dash_total_alerts, dash_total_alerts_variant, dash_communities, dash_rows, dash_factor, dash_rules,

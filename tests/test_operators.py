@@ -282,3 +282,14 @@ def test_large_components_get_louvain_too(spark, monkeypatch):
     many = community.detect_communities(nodes, edges)
     assert rows(many, "node", "community") == {(v, v % n) for v in range(n * k)} == one
     assert abs(community.modularity(many, edges) - (sum(w for *_, w in ring[:-n]) / sum(w for *_, w in ring) - 1 / n)) < 1e-9
+
+
+def test_decayed_edges_join_communities(spark, tmp_path):
+    """Two rows that share an entity half an hour apart are one community and one component; not so at min_weight 1."""
+    from alertweave.plans import reference
+
+    data = [(i, "d", ["u"], [], [], 1, sec(s), 0) for i, s in enumerate((0, 1800))]
+    spark.createDataFrame(data, "row_id bigint, decoder_name string, entity_users array<string>, entity_ips array<string>, entity_hosts array<string>, count bigint, alert_ts timestamp, cluster_id int").write.parquet(str(tmp_path / "real_alerts_clustered.parquet"))
+    q = reference.QUERIES
+    for name, label, n in (("louvain_communities", "community", 1), ("louvain_strong", "community", 2), ("connected_components_linked", "component", 1), ("connected_components", "component", 2)):
+        assert q[name](spark, str(tmp_path)).select(label).distinct().count() == n, name
