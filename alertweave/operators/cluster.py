@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,6 @@ from alertweave.operators.community import connected_components
 from alertweave.session import materialise
 
 DENSE_ROWS = 20_000  # rows that one task clusters hierarchically; more are refused, not sampled
-WARD_ROWS = 5_000  # rows whose distances Ward's method holds at once; more go to bisecting k-means
 BLOCK = 2_000
 
 
@@ -188,36 +187,40 @@ def density_clusters(df: DataFrame, key: str, vector: str, min_cluster: int = 5,
 
 
 def _ward(x: np.ndarray, k: int) -> np.ndarray:
+    """Chains of nearest neighbours over centres: the merges of the greedy order, in memory of the rows' own size."""
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1) / 2 if n <= 400 else np.maximum(0, ((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)) / 2
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    near = d.argmin(1)
-    least = d[np.arange(n), near]
-    while alive > max(1, k):
-        i = int(least.argmin())
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        other = np.isfinite(d[i]) | np.isfinite(d[j])
-        other[[i, j]] = False
-        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-        d[i], d[:, i] = np.where(other, new, np.inf), np.where(other, new, np.inf)
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == label[j]] = label[i]
-        alive -= 1
-        for t in np.flatnonzero(np.isin(near, (i, j)) | (np.arange(n) == i)):
-            near[t], least[t] = d[t].argmin(), d[t].min()
-        closer = d[:, i] < least
-        near[closer], least[closer] = i, d[closer, i]
-    return np.unique(label, return_inverse=True)[1]
+    center, size, alive, chain, merges = x.astype(float).copy(), np.ones(n), np.ones(n, dtype=bool), [], []
+    while len(merges) < n - 1:
+        chain = chain or [int(alive.argmax())]
+        while True:
+            i = chain[-1]
+            d = np.where(alive, size[i] * size / (size[i] + size) * ((center - center[i]) ** 2).sum(1), np.inf)
+            d[i] = np.inf
+            j = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        merges.append((d[j], i, j))
+        center[j] = (size[i] * center[i] + size[j] * center[j]) / (size[i] + size[j])
+        size[j] += size[i]
+        alive[i] = False
+        del chain[-2:]
+    parent = list(range(n))
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(0, n - max(1, k))]:
+        parent[root(i)] = root(j)
+    return np.unique([root(v) for v in range(n)], return_inverse=True)[1]
 
 
 def ward(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """key, cluster_id: Ward's agglomeration to ``k`` clusters; above WARD_ROWS rows bisecting k-means instead."""
-    if df.count() > WARD_ROWS:
-        v = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-        return BisectingKMeans(k=k, seed=42).fit(v).transform(v).select(key, F.col("prediction").cast("bigint").alias("cluster_id"))
+    """key, cluster_id: Ward's agglomeration to ``k`` clusters, for any number of rows; one task, time as their square."""
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.lit(0).alias("g"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -293,3 +293,17 @@ def test_decayed_edges_join_communities(spark, tmp_path):
     q = reference.QUERIES
     for name, label, n in (("louvain_communities", "community", 1), ("louvain_strong", "community", 2), ("connected_components_linked", "component", 1), ("connected_components", "component", 2)):
         assert q[name](spark, str(tmp_path)).select(label).distinct().count() == n, name
+
+
+def test_ward_is_ward_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "WARD_ROWS", 10, raising=False)
+    x = np.random.default_rng(3).random((60, 2))
+    want = [[i] for i in range(len(x))]
+    cost = lambda p, q: len(p) * len(q) / (len(p) + len(q)) * ((x[p].mean(0) - x[q].mean(0)) ** 2).sum()
+    while len(want) > 7:
+        p, q = min(itertools.combinations(want, 2), key=lambda pq: cost(*pq))
+        want = [c for c in want if c is not p and c is not q] + [p + q]
+    got: dict[int, set[int]] = {}
+    for i, c in rows(cluster.ward(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id bigint, v array<double>"), "id", "v", 7), "id", "cluster_id"):
+        got.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
