@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +22,7 @@ def build_session(app: str = "alertweave", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
     }
@@ -54,7 +56,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
     The folder named in the session is used as it is; only where none is set (tests, local mode) a
-    temporary one is chosen.  Files are reliable across executor loss, unlike ``localCheckpoint``.
+    temporary one is chosen.  Files are reliable across executor loss, unlike ``localCheckpoint``.  A checkpoint
+    counts its rows first and computes them a second time to write them, so they are held until it is written.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -62,4 +65,8 @@ def materialise(df: DataFrame) -> DataFrame:
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="alertweave-"))
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.select("*").checkpoint(eager=True)
+    finally:
+        held.unpersist()
