@@ -1,17 +1,19 @@
 """Keyword-stuffed pages, link lists and product tags.
 
-Each text is cut into segments (lines and sentences).  A segment is a sentence about something if it has enough
-words, several function words of a language and isn't repeated in the text; all else is list.  The list density
-of a page is the share of its words outside sentences.  The five-word phrases of the list parts of all pages are
-exploded and the distinct hosts of each phrase counted; a page is stitched as far as its list phrases occur on
-several hosts.  Notes are stitched too, from common sentences, so a replicated phrase says what the pages that carry
-it are: the score is the mean of the page's own list density and, weighted by the share of its list words in such
-phrases, theirs.
+The five-word phrases of every page's whole text are exploded and the distinct hosts of each counted.  A phrase on
+several hosts is replicated, and what it is shows in the pages that carry it: its list density is the mean over its
+hosts of the mean over their pages.  As far as a page is stitched from replicated phrases their density decides;
+what is left of it is judged by its own structure.
+
+Structure knows no language.  A sentence ends with a full stop, question or exclamation mark, has a stretch of some
+words between separators, and doesn't say the same words again; what is left, links included, is list.  A text
+whose words are few and come again and again (Simpson's concentration) is a list too, whatever its punctuation.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,97 +25,93 @@ from alertweave.session import materialise
 WORDS = 5  # of a phrase
 HOSTS = 3  # a phrase on as many hosts is replicated
 LEAST_WORDS = 8  # fewer words are no page
-SCORE = 0.66
-
-#: Function words of English, Spanish, French and German.
-FUNCTION_WORDS = frozenset(
-    "the a an of to in and is was are were that this it with for from by on at as not be has have had but which so we i he she they "
-    "after before when there no only our his her their or if than then who "
-    "el la los las de del que y en un una es fue con por para se su sus al lo como más pero ha han hay cuando aunque nadie ningún "
-    "todas unas unos si según quién porque tras sin ya hasta desde durante entre esta este "
-    "le les et du est dans pour qui sur pas par au aux ce cette il elle nous ont avec des mais rien selon car avait était déjà entre sans l d n qu "
-    "der die das und ist war den dem ein eine einer mit von zu auf nicht im am wir sich hat haben aber nach vor bei wurde kein keine noch aus".split()
-)
+SENTENCE, STRETCH, VARIED = 5, 4, 0.6  # words of a sentence, of its longest stretch; share of different words in it
+CONCENTRATED = (0.04, 0.08)  # chance that two words of a text are one: running text stays below, lists of a few terms above
+SHRINK = 20  # words that say nothing of the concentration yet
+SCORE = 0.55
+
 #: Words are letters alone: what holds digits (addresses, hashes, numbers) is none.
 _WORDS = re.compile(r"\b[^\W\d_]+\b").findall
-_LINKS = re.compile(r"(?:https?://|www\.)\S+|<[^>\n]*>|\[[^\]\n]*\]\([^)\n]*\)|#\S+|\S+ dot \w+")
-_CUT = re.compile(r"[\n\r\u2028]+|(?<=[.!?])\s+").split
-
-
-def read_page(text: str | None) -> tuple[int, int, list[str]]:
-    """Words of the text, words of its sentences, and its list phrases (each once)."""
+_LINKS = re.compile(r"(?:https?://|www\.)\S+|<[^>\n]*>|\[[^\]\n]*\]\([^)\n]*\)|#\S+|(?<!\S)\S+ dot \w+")
+_CUT = re.compile(r"[\n\r ]+|(?<=[.!?…。])[\"'”’)\]]*\s+").split
+_SEPARATED = re.compile(r"[;|·•→»]|[,/:>\-–—]\s").split
+_ENDED = re.compile(r"[.!?…。][\"'”’)\]\s]*$").search
+#: Names: what joins letters by dots, slashes, at signs or underscores.
+_NAME = re.compile(r"\w[.@\\/_]\w").search
+#: A line break before a small letter wraps a sentence.
+_WRAP = re.compile(r"[\n\r ]+(?=[^\W\d_])")
+
+
+def read_page(text: str | None) -> tuple[int, int, float, list[str]]:
+    """Words of the text, words of its sentences, the concentration of its words, and the words that phrases are made of."""
     if not text:
-        return 0, 0, []
-    text = text.lower()
-    total = prose = 0
-    if "#" in text or "." in text or "<" in text or "](" in text:
-        bare = _LINKS.sub(" . ", text)
-        if len(bare) != len(text):
-            total = len(_WORDS(text))
-    else:
-        bare = text
+        return 0, 0, 0.0, []
+    text = _WRAP.sub(lambda m: " " if text[m.end()].islower() else "\n", text).lower()
+    counts = Counter(_WORDS(text))
+    total = counts.total()
+    if not total:
+        return 0, 0, 0.0, []
+    prose = 0
     seen: set[str] = set()
-    rest: list[str] = []
-    inside = 0
-    for segment in _CUT(bare):
+    for segment in _CUT(_LINKS.sub(" ", text)):
         words = _WORDS(segment)
-        n = len(words)
-        if not n:
+        if len(words) < SENTENCE or not _ENDED(segment) or len(set(words)) < VARIED * len(words):
             continue
-        inside += n
         key = " ".join(words)
-        f = len(FUNCTION_WORDS.intersection(words)) if n >= 5 and key not in seen else 0
-        seen.add(key)
-        if f >= 2 and f >= 0.15 * n:
-            prose += n
-        else:
-            rest += words
-    phrases = dict.fromkeys(" ".join(rest[i : i + WORDS]) for i in range(len(rest) - WORDS + 1))
-    return total or inside, prose, list(phrases)
+        if key not in seen and max(len(_WORDS(p)) for p in _SEPARATED(segment)) >= STRETCH:
+            seen.add(key)
+            prose += len(words)
+    same = sum(v * (v - 1) for v in counts.values()) / max(1, total * (total - 1)) * total / (total + SHRINK)
+    return total, prose, same, _WORDS(" ".join(t for t in text.split() if not _NAME(t)))
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    """doc_id, host, words, prose, phrases (64-bit)."""
+    """doc_id, host, words, list_density, phrases (64-bit, each once): one row for each document."""
 
-    @F.pandas_udf("words int, prose int, phrases array<string>")
+    @F.pandas_udf("words int, prose int, same double, plain array<string>")
     def parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            yield pd.DataFrame([read_page(t if isinstance(t, str) else None) for t in s], columns=["words", "prose", "phrases"])
+            yield pd.DataFrame([read_page(t if isinstance(t, str) else None) for t in s], columns=["words", "prose", "same", "plain"])
 
-    df = documents.select("doc_id", F.col("source").alias("host"), parse("text").alias("p"))
-    return df.select("doc_id", "host", "p.words", "p.prose", F.transform("p.phrases", lambda x: F.xxhash64(x)).alias("phrases"))
+    df = documents.select("doc_id", F.xxhash64("source").alias("h"), F.col("source").isNotNull().alias("known"), parse("text").alias("p"))
+    low, high = CONCENTRATED
+    listed = F.when(F.col("p.words") > 0, 1 - F.col("p.prose") / F.col("p.words")).otherwise(0.0)
+    density = F.greatest(listed, F.least(F.lit(1.0), (F.col("p.same") - low) / (high - low)))
+    shingle = lambda i: F.xxhash64(F.slice("p.plain", i, WORDS))
+    phrases = F.when(F.size("p.plain") >= WORDS, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("p.plain") - WORDS + 1), shingle))).otherwise(F.array().cast("array<bigint>"))
+    return df.select("doc_id", F.when(F.col("known"), F.col("h")).alias("host"), "p.words", density.cast("float").alias("list_density"), phrases.alias("phrases"))
 
 
 def replicated(pages_: DataFrame, hosts: int = HOSTS) -> DataFrame:
-    """phrase: list phrases on at least ``hosts`` distinct hosts (null is no host).
+    """phrase, phrase_density: phrases on at least ``hosts`` distinct hosts (null is no host).
 
-    (phrase, host) is made distinct before hosts are counted, both combined on the map side, so a phrase of a third
-    of all pages costs its task no more than its hosts.  If the pages have list_density, that of the phrase comes too:
-    the mean over its hosts of the mean over their pages, so that no host outweighs others by repeats.
+    (phrase, host) is made one row before hosts are counted, both combined on the map side, so a phrase of a third
+    of all pages costs its task no more than its hosts.  The density is the mean over the phrase's hosts of the mean
+    over their pages, so that no host outweighs others by repeats.
     """
-    dense = "list_density" in pages_.columns
-    long = pages_.where(F.col("host").isNotNull()).select(F.explode("phrases").alias("phrase"), "host", *(["list_density"] if dense else []))
-    by_host = long.groupBy("phrase", "host").agg(F.avg("list_density").alias("list_density")) if dense else long.distinct()
-    kept = [F.avg("list_density").alias("phrase_density")] if dense else []
-    return by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), *kept).where(F.col("hosts") >= hosts).drop("hosts")
+    long = pages_.where(F.col("host").isNotNull()).select(F.explode("phrases").alias("phrase"), "host", "list_density")
+    by_host = long.groupBy("phrase", "host").agg(F.avg("list_density").alias("list_density"))
+    return by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.avg("list_density").alias("phrase_density")).where(F.col("hosts") >= hosts).drop("hosts")
 
 
-def scored(documents: DataFrame) -> DataFrame:
-    """doc_id, words, list_density, stitched, score: one row for each document.
+def scored(documents: DataFrame, hosts: int = HOSTS) -> DataFrame:
+    """doc_id, words, list_density, stitched, phrase_density, score: one row for each document row.
 
-    Null, empty and blank texts have 0 words and score 0; every repeat of a text has the same score; a text without
-    list phrases is stitched 0.  The join with the replicated phrases is by phrase; a phrase on very many pages
-    is one row on its other side, and Spark splits such a partition of the pages' side.
+    ``stitched`` is the share of the page that replicated phrases make up (words in links and names are in none),
+    ``phrase_density`` the mean density of those; the score weighs it by ``stitched`` and the page's own density by
+    the rest.  Null, empty and blank texts
+    have 0 words and score 0; every repeat of a text has the same score; a text of fewer than five words has no
+    phrases.  A phrase on very many pages is one row on the other side of the join, and Spark splits such a
+    partition of the pages' side.
     """
-    density = F.when(F.col("words") > 0, 1 - F.col("prose") / F.col("words")).otherwise(0.0)
-    p = materialise(pages(documents).withColumn("list_density", density))
-    marked = p.select("doc_id", F.explode("phrases").alias("phrase")).join(replicated(p), "phrase").groupBy("doc_id").agg(F.count("*").alias("hit"), F.avg("phrase_density").alias("around"))
-    df = p.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("list_density").alias("list_density"), F.max(F.col("words") - F.col("prose")).alias("listed"), F.max(F.size("phrases")).alias("n_phrases"), F.count("*").alias("rows")).join(marked, "doc_id", "left")
-    stitched = F.when(F.col("n_phrases") > 0, F.least(F.lit(1.0), F.coalesce("hit", F.lit(0)) / (F.col("n_phrases") * F.col("rows")))).otherwise(0.0)
-    # few phrases beside many links or repeats say little of the page
-    weight = F.least(F.lit(1.0), F.coalesce("hit", F.lit(0)) / (F.greatest(F.lit(1), F.col("listed") - WORDS + 1) * F.col("rows")))
-    score = (F.col("list_density") + weight * F.coalesce("around", F.lit(0.0))) / (1 + weight)
-    return df.withColumn("stitched", stitched).withColumn("score", F.when(F.col("words") >= LEAST_WORDS, score).otherwise(0.0)).select("doc_id", "words", "list_density", "stitched", "score")
+    p = materialise(pages(documents).withColumn("row", F.monotonically_increasing_id()))
+    met = p.select("row", F.explode("phrases").alias("phrase")).join(replicated(p, hosts), "phrase")
+    marked = met.groupBy("row").agg(F.count("*").alias("hit"), F.avg("phrase_density").alias("phrase_density"))
+    df = p.select("row", "doc_id", "words", F.col("list_density").cast("double").alias("list_density")).join(marked, "row", "left")
+    stitched = F.coalesce("hit", F.lit(0)) / F.greatest(F.lit(1), F.col("words") - WORDS + 1)
+    score = F.col("stitched") * F.coalesce("phrase_density", F.lit(0.0)) + (1 - F.col("stitched")) * F.col("list_density")
+    df = df.withColumn("stitched", stitched)
+    return df.select("doc_id", "words", "list_density", "stitched", "phrase_density", F.when(F.col("words") >= LEAST_WORDS, score).otherwise(0.0).alias("score"))
 
 
 def found(documents: DataFrame, least: float = SCORE) -> DataFrame:

@@ -67,7 +67,7 @@ SPAM = [
     ", ".join(f"{a} vpn {b}" for a in ("cheap", "best", "free") for b in ("online", "offer", "price", "trial")),
     "\n".join(f"- [cheap vpn {i}](https://shop{i}.example/buy)" for i in range(30)),
     "\n".join(f"Tags: vpn; cheap; backup; best; offer {i}" for i in range(12)),
-    NOTE[:98] + "\n\n" + " | ".join(f"best backup {x}" for x in ("cheap", "free", "online", "offer", "price", "trial", "review", "download", "buy") * 6),
+    NOTE[:89] + ".\n\n" + " | ".join(f"best backup {x}" for x in ("cheap", "free", "online", "offer", "price", "trial", "review", "download", "buy") * 6),
 ]
 GOOD = [NOTE, NOTE + "\nIndicators:\n" + "\n".join(f"- 10.0.0.{i}" for i in range(60)), "\n".join(f"https://wiki.example/{i}: The {n} rule was raised after the update of the sensor and we told the owner about it." for i, n in enumerate(("first", "second", "third", "last"))), None, "", "   ", "ok"]
 
@@ -83,21 +83,42 @@ def test_stuffed_pages(spark):
 
 
 def test_phrases_count_distinct_hosts(spark):
-    p = spark.createDataFrame([("a", [1, 2]), ("a", [1]), ("b", [1, 3]), ("c", [1, 3]), (None, [3])], "host string, phrases array<bigint>")
-    assert {r.phrase for r in stuffing.replicated(p, 3).collect()} == {1}
+    p = spark.createDataFrame([("a", [1, 2], 1.0), ("a", [1], 0.0), ("b", [1, 3], 0.5), ("c", [1, 3], 0.0), (None, [3], 1.0)], "host string, phrases array<bigint>, list_density double")
+    assert {(r.phrase, round(r.phrase_density, 6)) for r in stuffing.replicated(p, 3).collect()} == {(1, round(1 / 3, 6))}
     assert {r.phrase for r in stuffing.replicated(p, 2).collect()} == {1, 3}
 
 
-def test_replicated_phrases_decide_both_ways(spark):
-    """A half list of phrases that full lists carry is a case; one of phrases that notes carry is none."""
-    junk = " ".join(f"cheap vpn offer {x} backup" for x in ("best", "free", "online", "trial", "review", "price"))
-    common = "sensor seen late today again"
-    seen = "\n".join(f"{common} {x}" for x in ("alpha", "beta", "gamma", "delta", "echo"))
-    notes = " ".join(f"The owner of the {x} told us that it was moved to the office before the alert was raised." for x in ("router", "laptop", "printer", "server", "phone", "tablet", "gateway", "proxy"))
-    half = " ".join(f"The owner of the {x} told us that it was moved to the office before the alert." for x in ("router", "printer"))
-    most = "\n".join([seen, "The sensor was late and we told the owner of it."])
-    texts = [(f"{junk}", h) for h in "abcdefgh"] + [(f"{notes}\n{seen}", h) for h in "abcdefgh"] + [(f"{half}\n{junk}", "i"), (most, "j")]
-    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(texts)], "doc_id bigint, text string, source string")
+OTHER_LANGUAGES = [
+    "Пользователь позвонил утром и сказал, что не может войти в систему. Мы проверили журнал и сбросили пароль. После этого вход снова заработал, поэтому мы закрыли заявку.",
+    "Użytkownik zadzwonił rano i powiedział, że nie może się zalogować. Sprawdziliśmy dziennik i zmieniliśmy hasło. Potem logowanie znowu działało, więc zamknęliśmy zgłoszenie.",
+    "De gebruiker belde vanochtend dat hij niet kon inloggen. We hebben het logboek bekeken en het wachtwoord gewijzigd. Daarna werkte alles weer en is de melding gesloten.",
+    "O utilizador ligou de manhã porque não conseguia entrar no sistema. Verificámos o registo e mudámos a palavra-passe. Depois disso tudo voltou a funcionar e fechámos o caso.",
+    "The user called this morning and\nsaid that the mail client asks for\na password again and again. We looked into\nthe log of the server and found nothing\nthat explains it so far.",
+]
+STUFFED = "buy the best vpn for the cheap and the fast vpn in the world of the vpn deals for the vpn user and the vpn price of the best vpn in the vpn shop with the vpn offer of the day"
+
+
+def test_no_language_is_a_list_and_function_words_are_no_alibi(spark):
+    texts = [*OTHER_LANGUAGES, STUFFED, (STUFFED + ". ") * 4, "a." * 40_000, "<" * 40_000]
+    df = spark.createDataFrame([(i, t, f"host{i}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    scores = {r.doc_id: r.score for r in stuffing.scored(df).collect()}
+    assert all(scores[i] < 0.2 for i in range(len(OTHER_LANGUAGES)))
+    assert {r.doc_id for r in stuffing.found(df).collect()} >= {5, 6} and not {0, 1, 2, 3, 4} & {r.doc_id for r in stuffing.found(df).collect()}
+
+
+def test_replicated_phrases_decide(spark):
+    """Pages stitched from phrases of full lists are cases, whatever their punctuation; lists of what notes quote are none."""
+    word = lambda i: "".join("abcdefghij"[int(c)] + "o" for c in str(100 + i))
+    junk = [f"cheap vpn offer for {word(i)} with a free backup of {word(i + 40)}" for i in range(12)]
+    quoted = [f"failed logon of {word(i)} from the gateway to port {word(i + 40)}" for i in range(50, 62)]
+    note = " ".join(f"The owner of the {word(i)} told us that it was moved to the office before the alert was raised." for i in range(200, 240))
+    lists = [("\n".join(junk), h) for h in "abcdefgh"]
+    notes = [(note + "\n" + "\n".join(quoted), h) for h in "abcdefgh"]
+    stitched = (". ".join(x.capitalize() for x in junk) + ".", "i")  # written as sentences, from phrases of the lists
+    quote = ("\n".join(quoted), "j")  # a list by itself, of lines that notes quote
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate([*lists, *notes, stitched, quote])], "doc_id bigint, text string, source string")
     scores = {r.doc_id: r for r in stuffing.scored(df).collect()}
-    assert scores[16].list_density < 0.51 and scores[17].list_density > stuffing.SCORE
-    assert {i for i in scores if scores[i].score >= stuffing.SCORE} == {*range(8), 16}
+    assert scores[16].list_density < stuffing.SCORE and scores[17].list_density > 0.9
+    flagged = lambda hosts: {r.doc_id for r in stuffing.scored(df, hosts).collect() if r.score >= stuffing.SCORE}
+    assert flagged(3) == {*range(8), 16}
+    assert flagged(1000) == {*range(8), 17}  # without the phrases the structure errs on both
