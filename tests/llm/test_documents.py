@@ -111,7 +111,7 @@ def test_replicated_phrases_decide(spark):
     word = lambda i: "".join("abcdefghij"[int(c)] + "o" for c in str(100 + i))
     junk = [f"cheap vpn offer for {word(i)} with a free backup of {word(i + 40)}" for i in range(12)]
     quoted = [f"failed logon of {word(i)} from the gateway to port {word(i + 40)}" for i in range(50, 62)]
-    note = " ".join(f"The owner of the {word(i)} told us that it was moved to the office before the alert was raised." for i in range(200, 240))
+    note = " ".join(f"{word(i).capitalize()} {word(7 * i)} was {word(3 * i)} by {word(5 * i + 1)} after {word(2 * i)} had {word(9 * i)}." for i in range(100, 140))
     lists = [("\n".join(junk), h) for h in "abcdefgh"]
     notes = [(note + "\n" + "\n".join(quoted), h) for h in "abcdefgh"]
     stitched = (". ".join(x.capitalize() for x in junk) + ".", "i")  # written as sentences, from phrases of the lists
