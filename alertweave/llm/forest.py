@@ -1,16 +1,18 @@
 """Similar pairs of sets: sorted forests of minhash sketches.
 
-Sets are lists of 64-bit tokens.  Equal sets collapse into one class first.  Each tree orders the classes by its
-own minhash signature; a run of that order with a common prefix of ``depth`` values is a neighbourhood, and all
-pairs of a neighbourhood are candidates.  The number of trees follows from the depth and the asked recall at the
-threshold: a pair of similarity s shares a prefix in one tree with probability s**depth.  Neighbourhoods with too
-many classes are deepened: their classes form a smaller forest with a longer prefix and as many more trees as the
-recall then needs.  What is still too large is compared block by block, so nothing is dropped.  Candidates are
-verified by their exact Jaccard similarity.
+Sets are lists of 64-bit tokens.  Equal sets collapse into one class first.  Each tree has its own minhash
+signature, packed into one number so that its order is the lexicographic order of the signature's values.  A
+neighbourhood is a run of that order with a common prefix of ``depth`` values, and all pairs of a neighbourhood are
+candidates.  The number of trees follows from the depth and the asked recall at the threshold: a pair of similarity
+s shares a prefix in one tree with probability s**depth.  Neighbourhoods with too many classes are deepened value by
+value: their classes form a smaller forest whose trees go on with the same values and one more, with as many more
+trees as the recall then needs.  What is still too large at the last depth is compared block by block, so nothing is
+dropped.  Candidates are verified by their exact Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -19,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertweave.functions.arrays import entries
+from alertweave.session import materialise
 
 RECALL = 1 - 1e-6  # of a pair just at the threshold
 FULL = 512  # classes of a neighbourhood that are compared at once
+DEEPEST = 8  # values of a signature at most; a number holds 8 bits of each then
 
 
 def tokens(alerts: DataFrame, arrays: dict[str, str]) -> Column:
@@ -46,20 +50,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefixes(toks: pd.Series, depth: int, trees: int) -> list[np.ndarray]:
-    """For each set the hash of its signature's first ``depth`` values in each tree."""
+def signatures(toks: pd.Series, depth: int, trees: int) -> list[np.ndarray]:
+    """For each set its signature in each tree: ``depth`` minhash values, the first in the highest bits.
+
+    Value j of tree t is the same function at every depth.  The top bit is turned, so that signed numbers sort as
+    the signatures do.
+    """
     n = len(toks)
     sizes = toks.map(len).to_numpy()
     flat = np.concatenate([*toks.to_numpy(), np.zeros(0, dtype=np.int64)]).astype(np.int64).view(np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
     out = np.zeros((n, trees), dtype=np.uint64)
+    bits = np.uint64(64 // depth)
     if n:
         with np.errstate(over="ignore"):
             for t in range(trees):
                 for j in range(depth):
                     least = np.minimum.reduceat(_mix(flat ^ _mix(np.array([t * 64 + j + 1], dtype=np.uint64))[0]), starts)
-                    out[:, t] = _mix(out[:, t] * np.uint64(31) + least)
-    return list(out.view(np.int64))
+                    # the least of many hashes is small, so it is mixed again before its bits are taken
+                    out[:, t] = (out[:, t] << bits) | (_mix(least) >> (np.uint64(64) - bits))
+    return list((out << np.uint64(64 - int(bits) * depth) ^ np.uint64(1 << 63)).view(np.int64))
 
 
 def _grown(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
@@ -68,9 +78,9 @@ def _grown(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
 
     @F.pandas_udf("array<bigint>")
     def sketch(toks: pd.Series) -> pd.Series:
-        return pd.Series(prefixes(toks, depth, trees))
+        return pd.Series(signatures(toks, depth, trees))
 
-    return classes.select("cid", F.posexplode(sketch("toks")).alias("tree", "prefix"))
+    return materialise(classes.select("cid", F.posexplode(sketch("toks")).alias("tree", "prefix")))
 
 
 def _runs(grown: DataFrame) -> DataFrame:
@@ -94,20 +104,27 @@ def _blocks(grown: DataFrame, full: DataFrame) -> DataFrame:
     return met.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
 
 
-def similar_classes(classes: DataFrame, threshold: float, depth: int, deeper: int | None = None) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: float, depth: int, deepest: int = DEEPEST) -> DataFrame:
     """a, b, similarity: pairs of ``classes`` (cid, toks: sorted distinct tokens) whose Jaccard similarity is at least ``threshold``.
 
     a < b.  Classes with an empty or null set pair with nothing; an empty table gives no pairs.  A pair at the
     threshold is found with probability RECALL, a more similar one with more.
     """
     classes = classes.where(F.size("toks") > 0)
-    deeper = deeper or 2 * depth
     grown = _grown(classes, threshold, depth)
-    full = _runs(grown).where(F.col("n") > FULL)
-    crowded = classes.join(grown.join(full, ["tree", "prefix"]).select("cid").distinct(), "cid", "left_semi")
-    deep = _grown(crowded, threshold, deeper)
-    deep_full = _runs(deep).where(F.col("n") > FULL)
-    pairs = _neighbours(grown, full).unionByName(_neighbours(deep, deep_full)).unionByName(_blocks(deep, deep_full)).distinct()
+    met = []
+    while True:
+        full = materialise(_runs(grown).where(F.col("n") > FULL))
+        met.append(_neighbours(grown, full))
+        if full.isEmpty():
+            break
+        if depth == deepest:
+            met.append(_blocks(grown, full))
+            break
+        depth += 1
+        crowded = classes.join(grown.join(full, ["tree", "prefix"]).select("cid").distinct(), "cid", "left_semi")
+        grown = _grown(crowded, threshold, depth)
+    pairs = functools.reduce(DataFrame.unionByName, met).distinct()
     left, right = classes.select(F.col("cid").alias("a"), F.col("toks").alias("ta")), classes.select(F.col("cid").alias("b"), F.col("toks").alias("tb"))
     met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     union = F.size("ta") + F.size("tb") - F.col("shared")

@@ -11,7 +11,7 @@ from alertweave.session import materialise
 
 ARRAYS = {"u": "entity_users", "i": "entity_ips", "h": "entity_hosts"}
 CHUNK = 256
-LARGE = 2_000  # copies of a class; more are linked to their representative instead of with each other
+LARGE = 2_000  # copies of a class from which on they are linked to their representative instead of with each other
 
 
 def rows_with_sets(alerts: DataFrame, least: int = 5) -> DataFrame:
@@ -31,18 +31,19 @@ def linked_classes(alerts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame
     return members, classes.select("cid", "n", "toks"), pairs
 
 
-def all_pairs(alerts: DataFrame, threshold: float = 0.7) -> DataFrame:
+def all_pairs(alerts: DataFrame, threshold: float = 0.7, large: int | None = LARGE) -> DataFrame:
     """row_id_a < row_id_b, similarity: every pair of rows, copies included.
 
     Classes are expanded in chunks of about CHUNK rows, so no task meets more than a chunk of each side.  A class of
-    more than LARGE exact copies would have a quadratic number of pairs that say nothing new: each of its copies is
+    more than ``large`` exact copies would have a quadratic number of pairs that say nothing new: each of its copies is
     paired with the representative (the smallest row_id), and the representative with the rows of similar classes, so no
-    link between different sets is lost.
+    link between different sets is lost.  ``large=None`` expands every class.
     """
     members, classes, pairs = linked_classes(alerts, threshold)
+    whole = F.lit(True) if large is None else F.col("n") <= large
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    shown = lambda df: df.withColumn("n", F.when(F.col("n") <= LARGE, F.col("n")).otherwise(1))
-    inside = shown(members.where((F.col("n") <= LARGE) | (F.col("row_id") == F.col("cid"))))
+    shown = lambda df: df.withColumn("n", F.when(whole, F.col("n")).otherwise(1))
+    inside = shown(members.where(whole | (F.col("row_id") == F.col("cid"))))
     parts = materialise(inside.withColumn("part", F.pmod(F.xxhash64("row_id"), chunks("n")).cast("int")))
     sizes = shown(classes.select("cid", "n"))
     both = (
@@ -56,7 +57,7 @@ def all_pairs(alerts: DataFrame, threshold: float = 0.7) -> DataFrame:
     left = parts.select(F.col("cid").alias("a"), F.col("part").alias("pa"), F.col("row_id").alias("x"))
     right = parts.select(F.col("cid").alias("b"), F.col("part").alias("pb"), F.col("row_id").alias("y"))
     out = met.join(left, ["a", "pa"]).join(right, ["b", "pb"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    star = members.where((F.col("n") > LARGE) & (F.col("row_id") != F.col("cid"))).select(F.col("cid").alias("row_id_a"), F.col("row_id").alias("row_id_b"), F.lit(1.0).alias("similarity"))
+    star = members.where(~whole & (F.col("row_id") != F.col("cid"))).select(F.col("cid").alias("row_id_a"), F.col("row_id").alias("row_id_b"), F.lit(1.0).alias("similarity"))
     return out.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"), "similarity").unionByName(star)
 
 
