@@ -1,9 +1,9 @@
 """Duplicates hidden by formatting: canonical keys, exact hot keys, salted two-level aggregation.
 
-A record's canonical key is a 128-bit hash of its canonical fields.  Keys with many rows ("hot") are found
-exactly from partial counts; their rows are salted, aggregated in two levels and meet their group through a
-broadcast of the hot groups, which are at most ``total / hot_rows``.  All other keys take one shuffle, and a
-group there holds fewer than ``hot_rows`` rows.  The representative is the smallest identifier.
+A record's canonical key is a 128-bit hash of its canonical fields, computed once.  Keys with many rows ("hot") are
+found exactly from partial counts; their rows are salted and aggregated in two levels, all other keys take one
+shuffle.  What comes out is one compact state for each key, its smallest identifier and its number of rows; no list
+of members is ever built, and rows meet their key's state through a join that moves no row of a hot key.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from alertweave.functions.arrays import plain_entries
 from alertweave.operators.instants import sole_instant
+from alertweave.operators.skew import hot_rows, join_states
+from alertweave.session import materialise
 
 #: The eight fields that a line names.
 LINE_FIELDS = ("rule_id", "decoder", "description", "src", "dst", "entity_users", "count", "first_seen")
-HOT_SHARE = 1000  # hot keys are at most this many
+SALTS = 64
+KEY = ["k1", "k2"]
 
 
 def bare(c: Column) -> Column:
@@ -82,27 +85,31 @@ def line_keys(lines: DataFrame) -> DataFrame:
     return f.select(F.col("line_id").alias("rec_id"), *key_columns(fields))
 
 
-def copy_groups(keyed: DataFrame, total: int, least_hot: int = 10_000, salts: int = 64) -> DataFrame:
-    """``keyed`` (rec_id, k1, k2, ...) of all keys with at least two rows, with group_id and n_copies.
+def group_states(keyed: DataFrame, total: int, least_hot: int = 10_000, salts: int = SALTS) -> DataFrame:
+    """k1, k2, group_id, n_copies: one row for each key of ``keyed`` (rec_id, k1, k2, ...); null ids are ignored.
 
-    ``total``: an upper bound of the rows; a key is hot from ``max(least_hot, total / 1000)`` rows on, so there
-    are at most 1000 hot keys, and only they are broadcast.  Null ids are ignored; an empty input gives no rows.
+    ``total``: an upper bound of the rows; a key is hot from ``max(least_hot, total / 1000)`` rows on, so there are at
+    most 1000 hot keys, and only they are broadcast.
     """
     keyed = keyed.where(F.col("rec_id").isNotNull())
-    rest = [c for c in keyed.columns if c not in ("k1", "k2")]
-    hot_rows = max(least_hot, -(-total // HOT_SHARE))
-    hot = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows).select("k1", "k2")
-    cold = (
-        keyed.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct(*rest)).alias("members"), F.min("rec_id").alias("group_id"))
-        .where(F.size("members") > 1)
-        .select("k1", "k2", "group_id", F.size("members").cast("long").alias("n_copies"), F.inline("members"))
-    )
-    burning = keyed.join(F.broadcast(hot), ["k1", "k2"])
-    salted = burning.groupBy("k1", "k2", F.pmod(F.xxhash64("rec_id"), F.lit(salts)).alias("salt")).agg(F.min("rec_id").alias("least"), F.count("*").alias("n"))
-    states = salted.groupBy("k1", "k2").agg(F.min("least").alias("group_id"), F.sum("n").alias("n_copies"))
-    return cold.unionByName(burning.join(F.broadcast(states), ["k1", "k2"]))
+    state = [F.min("rec_id").alias("group_id"), F.count("*").alias("n_copies")]
+    hot = materialise(keyed.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows(total, least_hot)).select(*KEY))
+    if hot.isEmpty():
+        return keyed.groupBy(*KEY).agg(*state)
+    cold = keyed.join(F.broadcast(hot), KEY, "left_anti").groupBy(*KEY).agg(*state)
+    salted = keyed.join(F.broadcast(hot), KEY).groupBy(*KEY, F.pmod(F.xxhash64("rec_id"), F.lit(salts)).alias("salt")).agg(*state)
+    return cold.unionByName(salted.groupBy(*KEY).agg(F.min("group_id").alias("group_id"), F.sum("n_copies").alias("n_copies")))
+
+
+def copy_groups(keyed: DataFrame, total: int, least_hot: int = 10_000) -> DataFrame:
+    """The rows of ``keyed`` whose key has at least two rows, with group_id and n_copies; an empty input gives none."""
+    states = materialise(group_states(keyed, total, least_hot).where(F.col("n_copies") > 1))
+    return join_states(keyed.where(F.col("rec_id").isNotNull()), states, KEY, "n_copies", total, least_hot)
+
+
+def timed_alerts(alerts: DataFrame, zones: DataFrame) -> DataFrame:
+    """rec_id, k1, k2 of the alert rows that can have copies: with a user and a first_seen that stands for one instant."""
+    return materialise(sole_instant(alert_keys(alerts), "first_seen", "agent_name", zones, "us").where(F.col("us").isNotNull()).select("rec_id", *KEY))
 
 
 def alert_copies(alerts: DataFrame, zones: DataFrame) -> DataFrame:
@@ -111,16 +118,22 @@ def alert_copies(alerts: DataFrame, zones: DataFrame) -> DataFrame:
     Keys are grouped before timestamps are read, so only rows with a copy are parsed.
     """
     total = alerts.count()
-    near = copy_groups(alert_keys(alerts), total).drop("group_id", "n_copies")
-    sure = sole_instant(near, "first_seen", "agent_name", zones, "us").where(F.col("us").isNotNull()).select("rec_id", "k1", "k2")
+    near = copy_groups(materialise(alert_keys(alerts)), total).drop("group_id", "n_copies")
+    sure = materialise(sole_instant(near, "first_seen", "agent_name", zones, "us").where(F.col("us").isNotNull()).select("rec_id", *KEY))
     return copy_groups(sure, total).select("group_id", "rec_id", "n_copies")
 
 
 def line_copies(lines: DataFrame) -> DataFrame:
     """group_id, rec_id, n_copies of lines with copies."""
-    return copy_groups(line_keys(lines), lines.count()).select("group_id", "rec_id", "n_copies")
+    return copy_groups(materialise(line_keys(lines)), lines.count()).select("group_id", "rec_id", "n_copies")
+
+
+def collapsed_alerts(alerts: DataFrame, zones: DataFrame) -> DataFrame:
+    """rec_id (the smallest of its copies) and n_copies: one row for each distinct record of the alert rows that can have copies."""
+    total = alerts.count()
+    return group_states(timed_alerts(alerts, zones), total).select(F.col("group_id").alias("rec_id"), "n_copies")
 
 
-def collapsed(keyed: DataFrame) -> DataFrame:
-    """rec_id (the smallest of its copies) and n_copies, one row for each distinct record; map-side combined."""
-    return keyed.groupBy("k1", "k2").agg(F.min("rec_id").alias("rec_id"), F.count("*").alias("n_copies")).select("rec_id", "n_copies")
+def collapsed_lines(lines: DataFrame) -> DataFrame:
+    """The same of the lines that name all eight fields."""
+    return group_states(materialise(line_keys(lines)), lines.count()).select(F.col("group_id").alias("rec_id"), "n_copies")

@@ -33,8 +33,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    """Every alert row with a user, one record for each set of copies (by the key alone, whatever its time stands for)."""
-    return copies.collapsed(copies.alert_keys(table(spark, d, ALERTS)))
+    """One record for each set of copies of both tables, by the keys of p3_found, and its number of copies."""
+    a = copies.collapsed_alerts(table(spark, d, ALERTS), _zones(spark, d)).withColumn("table_name", F.lit(ALERTS))
+    b = copies.collapsed_lines(table(spark, d, "alert_lines")).withColumn("table_name", F.lit("alert_lines"))
+    return a.unionByName(b).select("table_name", "rec_id", "n_copies")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,10 +84,6 @@ def p9_scored(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (p2_found, p2_matches, p3_found, p3_collapsed, p4_found, p4_waves, p5_found, p5_classes, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_scored)
 QUERIES = {f.__name__: f for f in _ALL}
 
-_BARE = r"regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
-_USERS = f"list_sort(list_filter([{_BARE.format('x')} for x in coalesce(entity_users, [])], lambda x: x <> ''))"
-_PLAIN = "list_sort(list_filter(coalesce({}, []), lambda x: x is not null and x <> ''))"
-
 _SETS = f"""s AS (SELECT row_id, list_sort(list_concat([('u' || x) for x in {_entries('entity_users')}], list_concat([('i' || x) for x in {_entries('entity_ips')}], [('h' || x) for x in {_entries('entity_hosts')}]))) AS toks
     FROM real_alerts_clustered), big AS (SELECT * FROM s WHERE len(toks) >= 5), t AS (SELECT row_id, len(toks) AS n, unnest(toks) AS tok FROM big),
     pairs AS (SELECT x.row_id AS row_id_a, y.row_id AS row_id_b FROM t x JOIN t y ON x.tok = y.tok AND x.row_id < y.row_id GROUP BY 1, 2, x.n, y.n HAVING count(*) * 10 >= 7 * (x.n + y.n - count(*)))"""
@@ -95,7 +93,4 @@ SQL = {
     "p5_classes": f"""WITH {_SETS}, l AS (SELECT row_id, count(*) AS k FROM (SELECT row_id_a AS row_id FROM pairs UNION ALL SELECT row_id_b FROM pairs) GROUP BY 1)
         SELECT row_id, min(row_id) OVER (PARTITION BY toks) AS class_id, count(*) OVER (PARTITION BY toks) AS n_copies, coalesce(k, 0) AS n_links FROM big LEFT JOIN l USING (row_id)""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p3_collapsed": f"""SELECT min(row_id) AS rec_id, count(*) AS n_copies FROM real_alerts_clustered WHERE len({_USERS}) > 0
-        GROUP BY coalesce(decoder_name, ''), coalesce(rule_id, ''), "count", coalesce(first_seen, ''), coalesce(last_seen, ''),
-        {_PLAIN.format('entity_ips')}, {_PLAIN.format('entity_hosts')}, {_BARE.format('rule_description')}, {_USERS}""",
 }

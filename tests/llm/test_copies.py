@@ -53,5 +53,21 @@ def test_a_third_of_all_rows_in_one_group(spark, least_hot):
         want.setdefault(r.k1, []).append(r.rec_id)
     want = {(min(v), i, len(v)) for v in want.values() if len(v) > 1 for i in v}
     assert found(copies.copy_groups(keyed, 300, least_hot), "group_id", "rec_id", "n_copies") == want
-    got = copies.collapsed(keyed)
-    assert got.agg(F.sum("n_copies")).first()[0] == 300
+    states = copies.group_states(keyed, 300, least_hot).collect()
+    assert sum(r.n_copies for r in states) == 300 and len(states) == len({(r.k1, r.k2) for r in states})
+
+
+def test_one_record_each_comes_out(alerts, zones, spark):
+    df = alerts(BASE, BASE | {"rule_description": "ACCOUNT locked out"}, BASE | {"count": 3}, BASE | {"first_seen": "unknown"}, BASE | {"entity_users": None})
+    assert found(copies.collapsed_alerts(df, zones), "rec_id", "n_copies") == {(1, 2), (3, 1)}
+    lines = spark.createDataFrame(list(enumerate(LINES)), "line_id bigint, line_text string")
+    assert found(copies.collapsed_lines(lines), "rec_id", "n_copies") == {(0, 3), (3, 1), (4, 1)}
+
+
+def test_a_cold_group_of_many_rows_builds_no_list(spark):
+    """A key just below the bound of hot ones, with as many rows as a list couldn't hold; its plan collects nothing."""
+    n = 1_000_000
+    keyed = spark.range(n + 1000).select(F.col("id").alias("rec_id"), F.when(F.col("id") < n, 0).otherwise(F.col("id")).alias("k1"), F.lit(1).cast("bigint").alias("k2"))
+    out = copies.copy_groups(keyed, n * 2000)
+    assert out.groupBy("group_id").agg(F.count("*").alias("n"), F.max("n_copies").alias("m")).collect() == [(0, n, n)]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
