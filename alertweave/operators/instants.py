@@ -1,10 +1,13 @@
 """Timestamps in many notations and zones -> one instant in UTC.
 
 Each value is read under every notation it fits; notations are mixture components of its source
-(sensor, collector).  Expectation-maximisation over per-source counts of "which readings are valid"
+(sensor, collector).  Expectation-maximisation over per-source counts of "which notations are valid"
 gives every source its mixture weights, and the posterior of a value chooses its reading.  A source
 whose date order is declared has all weight on that order, so EM decides only where nothing is declared.
 
+Values in digits (ISO 8601 and epoch numbers) are read by built-in functions, the other notations in Arrow batches;
+each value is read once.
+
 What a value alone, with the declared zone of its source, cannot settle is marked, never guessed:
 
 ``status``
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from alertweave.functions.arrays import strip_blanks
 from alertweave.functions.barrier import settle
+from alertweave.session import materialise
 
 US = 1_000_000
 
@@ -179,7 +183,8 @@ def read_one(text: str | None, order: str | None, zone: str | None, year: int) -
 def read_batch(texts: pd.Series, orders: pd.Series, zones: pd.Series, year: int) -> pd.DataFrame:
     """The columns of READ for a batch; clock changes are looked up for all its values of a zone at once."""
     none = lambda s: [None if x is None or x != x else x for x in s]
-    got = [read_one(t, o, z, year) for t, o, z in zip(none(texts), none(orders), none(zones), strict=True)]
+    missing = read_one(None, None, None, year)
+    got = [missing if t is None else read_one(t, o, z, year) for t, o, z in zip(none(texts), none(orders), none(zones), strict=True)]
     out = {"state": [x[0] for x in got]}
     for i in (0, 1):
         there = [len(x[1]) > i for x in got]
@@ -196,14 +201,71 @@ def read_batch(texts: pd.Series, orders: pd.Series, zones: pd.Series, year: int)
 
 
 def zone_table(zones: DataFrame) -> DataFrame:
-    """Columns z_source, z_zone, z_order, one row for each source.
+    """Columns z_source, z_zone, z_order, z_plain, one row for each source.
 
     ``zones`` needs agent_name, zone_name, date_order.  A null name is no source; a source listed twice counts
-    with its first zone by name; an order that isn't known counts as none.
+    with its first zone by name; an order that isn't known counts as none.  z_plain: the zone is one that Spark's
+    own functions know under the same name.
     """
+    known = set(zones.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
+
+    @F.pandas_udf("boolean")
+    def plain(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: isinstance(x, str) and x in known and _zone(x, 2025) is not None)
+
     one = zones.where(F.col("agent_name").isNotNull()).groupBy("agent_name").agg(F.min(F.struct("zone_name", "date_order")).alias("z"))
     order = F.lower("z.date_order")
-    return one.select(F.col("agent_name").alias("z_source"), F.col("z.zone_name").alias("z_zone"), F.when(order.isin("dmy", "mdy", "ymd"), order).alias("z_order"))
+    return one.select(F.col("agent_name").alias("z_source"), F.col("z.zone_name").alias("z_zone"), F.when(order.isin("dmy", "mdy", "ymd"), order).alias("z_order"), plain("z.zone_name").alias("z_plain"))
+
+
+_ISO = r"^\d{4}([-/])\d{2}\1\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:[Zz]|[+-]\d{2}(?::?\d{2})?)?$"
+_NUMBER = r"^(?:\d{10}(?:\.\d{1,9})?|\d{13}|\d{16})$"
+#: Minutes that clocks are set back by, all that occur in the zone database for this century.
+SETBACKS = (20, 30, 60, 120, 180)
+
+
+def _digits(df: DataFrame) -> DataFrame:
+    """Adds r, the reading (READ) of the text ``t`` if it is an ISO 8601 time or an epoch number, else null."""
+    whole = lambda c: F.try_to_number(c, F.lit("9999999999999999")).cast("bigint")
+    two = lambda at: F.substring("t", at, 2).try_cast("int")
+    micros = lambda c: F.coalesce(F.rpad(F.substring(c, 1, 6), 6, "0").try_cast("int"), F.lit(0))
+    size = F.length(F.substring_index("t", ".", 1))
+    matches = lambda pattern: F.coalesce(F.col("t").rlike(pattern), F.lit(False))
+    df = settle(df, iso=matches(_ISO), number=matches(_NUMBER))
+    tail = F.substring("t", 20, 20)
+    df = settle(
+        df,
+        day=F.when(F.col("iso"), F.unix_date(F.translate(F.substring("t", 1, 10), "/", "-").try_cast("date"))),
+        part=F.when(F.col("iso"), F.regexp_extract(tail, r"^[.,](\d+)", 1)),
+        off=F.when(F.col("iso"), F.regexp_replace(tail, r"^[.,]\d+", "")),
+        count=F.when(F.col("number"), whole(F.substring_index("t", ".", 1)) * F.when(size == 10, US).when(size == 13, 1000).otherwise(1) + F.when(F.contains("t", F.lit(".")), micros(F.substring_index("t", ".", -1))).otherwise(0)),
+    )
+    minutes = (F.substring("off", 2, 2).try_cast("int") * 60 + F.coalesce(F.substring("off", -2, 2).try_cast("int"), F.lit(0)) * F.when(F.length("off") > 3, 1).otherwise(0)) * F.when(F.col("off").startswith("-"), -1).otherwise(1)
+    fits = F.col("day").isNotNull() & (two(12) <= 23) & (two(15) <= 59) & (two(18) <= 59)
+    signed = F.length("off") > 1
+    fits = fits & (~signed | ((F.substring("off", 2, 2).try_cast("int") <= 18) & ((F.length("off") <= 3) | (F.substring("off", -2, 2).try_cast("int") <= 59))))
+    df = settle(
+        df,
+        fits=F.when(F.col("iso"), fits),
+        local=F.when(F.col("iso") & fits, F.col("day").cast("bigint") * (86_400 * US) + (two(12) * 3600 + two(15) * 60 + two(18)).cast("bigint") * US + micros("part")),
+        minutes=F.when(F.col("off") == "", None).otherwise(F.when(signed, minutes).otherwise(0)),
+    )
+    stamp = F.timestamp_micros("local")
+    shown = lambda c: F.unix_micros(F.from_utc_timestamp(c, F.col("z_zone")))
+    df = settle(df, utc=F.when(F.col("local").isNotNull() & F.col("minutes").isNull() & F.col("z_plain"), F.to_utc_timestamp(stamp, F.col("z_zone"))))
+    again = functools.reduce(Column.__or__, (shown(F.timestamp_micros(F.unix_micros("utc") + m * 60 * US)) == F.col("local") for m in SETBACKS))
+    times = F.when(shown(F.col("utc")) != F.col("local"), 0).when(again, 2).otherwise(1)
+    reading = lambda state, n, us: F.struct(F.lit(state).alias("state"), (F.lit("fixed") if us is not None else F.lit(None).cast("string")).alias("order1"), n.cast("int").alias("n1"), F.coalesce(us if us is not None else F.lit(0), F.lit(0)).cast("bigint").alias("us1"), F.lit(None).cast("string").alias("order2"), F.lit(0).alias("n2"), F.lit(0).cast("bigint").alias("us2"))
+    local = F.col("local")
+    return settle(
+        df,
+        r=F.when(F.col("number"), reading("read", F.lit(1), F.col("count")))
+        .when(~F.col("iso"), None)
+        .when(~F.col("fits"), reading("impossible", F.lit(0), None))
+        .when(F.col("minutes").isNotNull(), reading("read", F.lit(1), local - F.col("minutes").cast("bigint") * (60 * US)))
+        .when(F.col("utc").isNotNull(), reading("read", times, F.when(times == 0, 0).otherwise(F.unix_micros("utc"))))
+        .when(F.col("z_zone").isNull(), reading("zoneless", F.lit(0), local)),
+    ).drop("iso", "number", "day", "part", "off", "count", "fits", "local", "minutes", "utc")
 
 
 def read(df: DataFrame, value: str, source: str, zones: DataFrame, year: int = 2025) -> DataFrame:
@@ -216,8 +278,12 @@ def read(df: DataFrame, value: str, source: str, zones: DataFrame, year: int = 2
     def parse(text: pd.Series, order: pd.Series, zone: pd.Series) -> pd.DataFrame:
         return read_batch(text, order, zone, year)
 
-    df = df.join(zones, F.col(source) == F.col("z_source"), "left")
-    return df.withColumn("i", parse(strip_blanks(F.col(value)), "z_order", "z_zone")).drop("z_source", "z_zone")
+    had = df.columns
+    df = df.select(*(F.col(c).alias(f"kept_{i}") for i, c in enumerate(had)), F.col(value).alias("v"), F.col(source).alias("s"))
+    df = df.join(zones, F.col("s") == F.col("z_source"), "left")
+    df = _digits(settle(df, t=strip_blanks(F.col("v"))))
+    rest = F.when(F.col("r").isNull(), F.col("t"))
+    return df.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(had)), "z_order", F.coalesce("r", parse(rest, F.when(rest.isNotNull(), F.col("z_order")), F.when(rest.isNotNull(), F.col("z_zone")))).alias("i"))
 
 
 def sole_instant(df: DataFrame, value: str, source: str, zones: DataFrame, out: str, year: int = 2025) -> DataFrame:
@@ -237,28 +303,42 @@ def _within(us: Column, year: int) -> Column:
     return F.when((us >= lo) & (us < hi), us)
 
 
-def order_signatures(df: DataFrame, value: str, source: str) -> DataFrame:
-    """i_source, orders, n: for each source how many of its slashed dates are valid under which orders (map-side combined)."""
-    head = F.regexp_extract(F.substring(strip_blanks(F.col(value)), 1, 8), r"^(\d{1,2}/\d{1,2})/", 1)
-    df = settle(df.select(F.col(source).alias("i_source"), F.split(head, "/").alias("p")).where(F.size("p") == 2), a=F.expr("try_cast(p[0] as int)"), b=F.expr("try_cast(p[1] as int)"))
+#: Notations of dates; a value in digits with slashes may be in either of the first two.
+NOTATIONS = ("dmy", "mdy", "ymd", "dotted", "named", "month", "compact", "number")
+SOURCES = 10_000  # mixtures of sources that are broadcast; more are joined by source
+
+
+def notation_signatures(df: DataFrame, value: str, source: str) -> DataFrame:
+    """i_source, notations, n: for each source how many of its values are valid dates in which notations (map-side combined)."""
+    df = settle(df.select(F.col(source).alias("i_source"), strip_blanks(F.col(value)).alias("v")).where("v is not null"), head=F.substring("v", 1, 12))
+    df = settle(df, p=F.split(F.regexp_extract("head", r"^(\d{1,2}/\d{1,2})/", 1), "/"))
+    df = settle(df, a=F.expr("try_cast(p[0] as int)"), b=F.expr("try_cast(get(p, 1) as int)"))
     dmy = F.col("a").between(1, 31) & F.col("b").between(1, 12)
     mdy = F.col("b").between(1, 31) & F.col("a").between(1, 12)
-    orders = F.array_compact(F.array(F.when(dmy, "dmy"), F.when(mdy, "mdy")))
-    return df.where(dmy | mdy).groupBy("i_source", orders.alias("orders")).agg(F.count("*").alias("n"))
+    like = lambda pattern: F.col("head").rlike(pattern)
+    notations = (
+        F.when(F.size("p") == 2, F.array_compact(F.array(F.when(dmy, "dmy"), F.when(mdy, "mdy"))))
+        .when(like(r"^\d{4}[-/]"), F.array(F.lit("ymd")))
+        .when(like(r"^\d{1,2}\."), F.array(F.lit("dotted")))
+        .when(like(r"^(?:[A-Za-z]{3}, )?\d{1,2}[ -][A-Za-z]"), F.array(F.lit("named")))
+        .when(like(r"^[A-Za-z]{3}\s"), F.array(F.lit("month")))
+        .when(like(r"^\d{8}[Tt ]"), F.array(F.lit("compact")))
+        .when(like(r"^\d{10}"), F.array(F.lit("number")))
+    )
+    return df.groupBy("i_source", notations.alias("notations")).agg(F.count("*").alias("n")).where(F.size("notations") > 0)
 
 
-def fit_orders(counts: DataFrame, iterations: int = 50, prior: float = 0.5) -> DataFrame:
-    """EM over the date orders of each source.
+def fit_notations(counts: DataFrame, iterations: int = 50, prior: float = 0.5) -> DataFrame:
+    """EM over the notations of each source.
 
-    ``counts``: i_source, orders (the orders under which a value is valid), n.  A source has a few rows here (the
-    sets of orders), however many values it has, so a group is small.  Returns i_source, w_dmy, w_mdy, the
-    mixture weights; ``prior`` is the pseudo-count of each order.
+    ``counts``: i_source, notations (those in which a value is valid), n.  A source has a few rows here (the
+    sets of notations), however many values it has, so a group is small.  Returns i_source and w_ with each of
+    NOTATIONS, the mixture weights; ``prior`` is the pseudo-count of each notation.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = ["dmy", "mdy"]
-        valid = np.array([[o in set(x) for o in names] for x in pdf["orders"]], dtype=float)
-        n, w = pdf["n"].to_numpy(dtype=float), np.full(2, 0.5)
+        valid = np.array([[o in set(x) for o in NOTATIONS] for x in pdf["notations"]], dtype=float)
+        n, w = pdf["n"].to_numpy(dtype=float), np.full(len(NOTATIONS), 1 / len(NOTATIONS))
         for _ in range(iterations):
             r = valid * w
             r /= r.sum(1, keepdims=True)
@@ -267,31 +347,29 @@ def fit_orders(counts: DataFrame, iterations: int = 50, prior: float = 0.5) -> D
             if np.abs(new - w).max() < 1e-12:
                 break
             w = new
-        return pd.DataFrame({"i_source": [pdf["i_source"].iloc[0]], "w_dmy": [w[0]], "w_mdy": [w[1]]})
+        return pd.DataFrame({"i_source": [pdf["i_source"].iloc[0]]} | {f"w_{o}": [x] for o, x in zip(NOTATIONS, w, strict=True)})
 
-    return counts.groupBy("i_source").applyInPandas(fit, "i_source string, w_dmy double, w_mdy double")
+    return counts.groupBy("i_source").applyInPandas(fit, "i_source string, " + ", ".join(f"w_{o} double" for o in NOTATIONS))
 
 
 def normalise(df: DataFrame, value: str, source: str, zones: DataFrame, year: int = 2025, least: float = 0.95) -> DataFrame:
     """``df`` with utc_us, status, confidence, order: the chosen instant of ``value``.
 
-    EM runs over all slashed dates of each source; a declared order has all weight there.  Values with one
-    valid reading skip the join with the fitted weights, so a source with most rows never meets in one task.
-    Null values give ``missing``, empty texts ``unreadable``; a null source is a source without zone.  Columns
-    of ``df`` named like those added are refused.
+    Each valid reading has its source's weight of its notation as prior, and the posterior chooses; a declared order
+    leaves one reading.  A posterior below ``least`` is marked.  The mixtures (one row for each source) meet the rows by a
+    broadcast if they are few, else by source.  Null values give ``missing``, empty texts ``unreadable``; a null source
+    is a source without zone.  Columns of ``df`` named like those added are refused.
     """
     had = df.columns
-    if clash := [c for c in had if c in ("i", "i_source", "z_order", "w_dmy", "w_mdy", "utc_us", "status", "confidence", "order")]:
+    if clash := [c for c in had if c in ("i", "z_order", "utc_us", "status", "confidence", "order", "w_source", "w_dmy", "w_mdy")]:
         raise ValueError(f"rename the columns {clash}")
-    c = read(df, value, source, zones, year)
+    w = materialise(fit_notations(notation_signatures(df, value, source)).select(F.col("i_source").alias("w_source"), "w_dmy", "w_mdy"))
+    few = w.limit(SOURCES + 1).count() <= SOURCES
+    both = read(df, value, source, zones, year).join(F.broadcast(w) if few else w, F.col(source).eqNullSafe(F.col("w_source")), "left")
     several = F.col("i.order2").isNotNull()
-    none = F.lit(None).cast("double")
-    plain = c.where(~several).withColumns({"w_dmy": none, "w_mdy": none})
-    w = fit_orders(order_signatures(df, value, source)).withColumnRenamed("i_source", "w_source")
-    mixed = c.where(several).join(w, F.col(source).eqNullSafe(F.col("w_source")), "left").drop("w_source")
-    both = plain.unionByName(mixed)
     mdy = several & (F.coalesce("w_mdy", F.lit(0.5)) > F.coalesce("w_dmy", F.lit(0.5)))
-    sure = F.when(several, F.greatest(F.coalesce("w_dmy", F.lit(0.5)), F.coalesce("w_mdy", F.lit(0.5)))).otherwise(1.0)
+    share = F.greatest("w_dmy", "w_mdy") / (F.col("w_dmy") + F.col("w_mdy"))
+    sure = F.when(several, F.coalesce(share, F.lit(0.5))).otherwise(1.0)
     n, us = F.when(mdy, F.col("i.n2")).otherwise(F.col("i.n1")), F.when(mdy, F.col("i.us2")).otherwise(F.col("i.us1"))
     status = (
         F.when(F.col("i.state") != "read", F.col("i.state"))

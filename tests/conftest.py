@@ -40,5 +40,5 @@ def alerts(spark):
 def zones(spark):
     from alertweave.operators.instants import zone_table
 
-    rows = [("mad", "Europe/Madrid", "dmy"), ("nyk", "America/New_York", "mdy"), ("hub", "UTC", "ymd"), ("del", "Asia/Kolkata", "dmy"), ("syd", "Australia/Sydney", "dmy"), ("bad", "No/Where", "dmy"), (None, "UTC", "ymd")]
+    rows = [("mad", "Europe/Madrid", "dmy"), ("nyk", "America/New_York", "mdy"), ("hub", "UTC", "ymd"), ("del", "Asia/Kolkata", "dmy"), ("syd", "Australia/Sydney", "dmy"), ("lhi", "Australia/Lord_Howe", "dmy"), ("bad", "No/Where", "dmy"), (None, "UTC", "ymd")]
     return zone_table(spark.createDataFrame(rows, "agent_name string, zone_name string, date_order string"))
