@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alertweave.functions.barrier import settle
 from alertweave.session import materialise
 
 WORDS = 5  # of a phrase
@@ -42,15 +43,15 @@ _NAME = re.compile(r"\w[.@\\/_]\w").search
 _WRAP = re.compile(r"[\n\r ]+(?=[^\W\d_])")
 
 
-def read_page(text: str | None) -> tuple[int, int, float, list[str]]:
+def read_page(text: str | None) -> tuple[int, int, float, str]:
     """Words of the text, words of its sentences, the concentration of its words, and the words that phrases are made of."""
     if not text:
-        return 0, 0, 0.0, []
+        return 0, 0, 0.0, ""
     text = _WRAP.sub(lambda m: " " if text[m.end()].islower() else "\n", text).lower()
     counts = Counter(_WORDS(text))
     total = counts.total()
     if not total:
-        return 0, 0, 0.0, []
+        return 0, 0, 0.0, ""
     prose = 0
     seen: set[str] = set()
     for segment in _CUT(_LINKS.sub(" ", text)):
@@ -62,23 +63,24 @@ def read_page(text: str | None) -> tuple[int, int, float, list[str]]:
             seen.add(key)
             prose += len(words)
     same = sum(v * (v - 1) for v in counts.values()) / max(1, total * (total - 1)) * total / (total + SHRINK)
-    return total, prose, same, _WORDS(" ".join(t for t in text.split() if not _NAME(t)))
+    return total, prose, same, " ".join(_WORDS(" ".join(t for t in text.split() if not _NAME(t))))
 
 
 def pages(documents: DataFrame) -> DataFrame:
     """doc_id, host, words, list_density, phrases (64-bit, each once): one row for each document."""
 
-    @F.pandas_udf("words int, prose int, same double, plain array<string>")
+    @F.pandas_udf("words int, prose int, same double, plain string")
     def parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             yield pd.DataFrame([read_page(t if isinstance(t, str) else None) for t in s], columns=["words", "prose", "same", "plain"])
 
     df = documents.select("doc_id", F.xxhash64("source").alias("h"), F.col("source").isNotNull().alias("known"), parse("text").alias("p"))
+    df = settle(df, said=F.when(F.col("p.plain") != "", F.split("p.plain", " ")).otherwise(F.array().cast("array<string>")))
     low, high = CONCENTRATED
     listed = F.when(F.col("p.words") > 0, 1 - F.col("p.prose") / F.col("p.words")).otherwise(0.0)
     density = F.greatest(listed, F.least(F.lit(1.0), (F.col("p.same") - low) / (high - low)))
-    shingle = lambda i: F.xxhash64(F.slice("p.plain", i, WORDS))
-    phrases = F.when(F.size("p.plain") >= WORDS, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("p.plain") - WORDS + 1), shingle))).otherwise(F.array().cast("array<bigint>"))
+    shingle = lambda i: F.xxhash64(F.slice("said", i, WORDS))
+    phrases = F.when(F.size("said") >= WORDS, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("said") - WORDS + 1), shingle))).otherwise(F.array().cast("array<bigint>"))
     return df.select("doc_id", F.when(F.col("known"), F.col("h")).alias("host"), "p.words", density.cast("float").alias("list_density"), phrases.alias("phrases"))
 
 
