@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,4 +55,18 @@ def spread(rank: Column, n: Column, start: Column, duration: float) -> Column:
 
 
 def duration_seconds(first: Column, last: Column) -> Column:
-    return F.coalesce(F.unix_seconds(last) - F.unix_seconds(first), F.lit(0)).cast("bigint")
+    """Whole seconds between two instants, fractions cut off after the difference; 0 where one is null."""
+    us = F.unix_micros(last) - F.unix_micros(first)
+    return F.coalesce((us - F.when(us >= 0, F.pmod(us, F.lit(1_000_000))).otherwise(-F.pmod(-us, F.lit(1_000_000)))) / 1_000_000, F.lit(0)).cast("bigint")
+
+
+def relative_time(text: str, now: Column | None = None) -> Column:
+    """``now``, ``now-60m``, ``now+1d`` (s, m, h, d, w) as a timestamp; another text is read as ISO 8601."""
+    m = re.fullmatch(r"now(?:([+-])(\d+)([smhdw]))?", text.strip())
+    if m is None:
+        return F.try_to_timestamp(F.lit(text))
+    now = F.current_timestamp() if now is None else now
+    if m[1] is None:
+        return now
+    seconds = int(m[2]) * {"s": 1, "m": 60, "h": 3600, "d": 86_400, "w": 604_800}[m[3]] * (-1 if m[1] == "-" else 1)
+    return F.timestamp_micros(F.unix_micros(now) + seconds * 1_000_000)

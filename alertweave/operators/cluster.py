@@ -241,3 +241,8 @@ def run(name: str, df: DataFrame, key: str, vector: str, k: int = 2, eps: float
     if name not in runs:
         raise ValueError(f"no clustering named {name}; there are {', '.join(runs)}")
     return runs[name]()
+
+
+def transferred_k(labels: DataFrame, least: int = 2) -> int:
+    """The number of clusters (noise aside) of a density clustering, for those that must be told one; ``least`` at least."""
+    return max(least, labels.where("cluster_id >= 0").agg(F.count_distinct("cluster_id")).first()[0])

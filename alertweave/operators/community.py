@@ -15,12 +15,34 @@ LARGEST = 200_000  # edges of a component that one task optimises; larger ones a
 BATCH = 100_000  # edges of small components that a task takes together, about
 
 
+def _united(pdf: pd.DataFrame) -> pd.DataFrame:
+    """node, component of the edges src, dst at one place."""
+    ids, flat = np.unique(pdf[["src", "dst"]].to_numpy(dtype=np.int64).ravel(), return_inverse=True)
+    root = list(range(len(ids)))
+    for x, y in flat.reshape(-1, 2).tolist():
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        root[max(x, y)] = min(x, y)
+    for v in range(len(ids)):
+        root[v] = root[root[v]]  # a root is smaller than its members, so it is settled before them
+    return pd.DataFrame({"node": ids, "component": ids[root]})
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node of it); ``nodes``: node, ``edges``: a, b between them.
 
     Alternating rounds of hooking to the smallest neighbour and pointer doubling; labels are written out each round,
-    so lineage stays short and a lost executor costs a round.  Ends when no label changes.
+    so lineage stays short and a lost executor costs a round.  Ends when no label changes.  Up to BATCH edges go to one
+    task, which gives the same labels.
     """
+    every = nodes.select(F.col("node").alias("id")).distinct()
+    edges = materialise(edges.select("a", "b"))
+    if edges.count() <= BATCH:
+        one = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0).alias("g")).groupBy("g")
+        labels = one.applyInPandas(lambda pdf: _united(pdf), "node bigint, component bigint")
+        return every.join(labels, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
     ends = materialise(edges.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))).where("src <> dst").distinct())
     labels = materialise(ends.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())  # nodes without edges keep themselves
     for _ in range(most_rounds):
@@ -33,7 +55,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
         new = materialise(moved.join(jump, F.col("component") == F.col("up"), "left").select("node", "was", F.least("component", F.coalesce("higher", "component")).alias("component")))
         labels = new.select("node", "component")
         if new.where("was <> component").isEmpty():
-            out = nodes.select(F.col("node").alias("id")).distinct().join(labels, F.col("id") == F.col("node"), "left")
+            out = every.join(labels, F.col("id") == F.col("node"), "left")
             return out.select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
@@ -185,7 +207,8 @@ def detect_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = placed.groupBy("component").agg(F.count("*").alias("n_edges"))
     small = placed.join(sizes.where(F.col("n_edges") <= LARGEST).select("component"), "component", "left_semi")
     large = placed.join(sizes.where(F.col("n_edges") > LARGEST).select("component"), "component", "left_semi")
-    blocks = in_blocks(large.select("a", "b", "w"), total)
+    large = materialise(large.select("a", "b", "w"))
+    blocks = in_blocks(large, total)
 
     # components don't interact, so a task optimises many of them as one graph
     batches = max(1, -(-edges.count() // BATCH))
@@ -212,10 +235,11 @@ def overlapping(rows: DataFrame, min_size: int = 3) -> DataFrame:
     rows = rows.where("community >= 0")
     span = rows.groupBy("community").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count_distinct("node").alias("size"))
     held = rows.select("community", "entity").where("entity is not null").distinct().join(span, "community")
-    left = held.select("entity", F.col("community").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("size").alias("n1"))
-    right = held.select("entity", F.col("community").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("size").alias("n2"))
-    met = left.join(right, "entity").where("a < b and lo1 <= hi2 and hi1 >= lo2")
-    return met.where((F.col("n1") < min_size) | (F.col("n2") < min_size)).select("a", "b").distinct()
+    # one side is small; the smaller label of a pair may be either
+    left = held.where(F.col("size") < min_size).select("entity", F.col("community").alias("x"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    right = held.select("entity", F.col("community").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = left.join(right, "entity").where("x <> y and lo1 <= hi2 and hi1 >= lo2")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def consolidate(rows: DataFrame, min_size: int = 3) -> DataFrame:

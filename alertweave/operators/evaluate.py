@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -124,5 +125,24 @@ def over_repetitions(scores: DataFrame, group: str, c: str) -> DataFrame:
 
 
 def phase_table(rows: DataFrame) -> DataFrame:
-    """community_id, a, b: rows of each phase (null phase aside) in each community."""
-    return rows.where("phase is not null").groupBy("community_id").agg(F.count_if(F.col("phase") == "A").alias("a"), F.count_if(F.col("phase") == "B").alias("b"))
+    """community_id, a, b, other, both: rows of each phase (``other``: none) in each community, and whether it holds both phases."""
+    count = lambda p: F.count_if(p)
+    per = rows.groupBy("community_id").agg(count(F.col("phase") == "A").alias("a"), count(F.col("phase") == "B").alias("b"), count(F.col("phase").isNull()).alias("other"))
+    return per.withColumn("both", (F.col("a") > 0) & (F.col("b") > 0))
+
+
+def phases_together(rows: DataFrame) -> DataFrame:
+    """One row, together: whether some community (noise aside) holds rows of both phases."""
+    return phase_table(rows.where("community_id >= 0")).agg(F.coalesce(F.bool_or("both"), F.lit(False)).alias("together"))
+
+
+def scenario_spans(truth: DataFrame) -> DataFrame:
+    """scenario, first_us, last_us, seconds: from the first to the last emission (``t_emit``) of each scenario."""
+    t = F.try_to_timestamp("t_emit")
+    return truth.groupBy("scenario").agg(F.unix_micros(F.min(t)).alias("first_us"), F.unix_micros(F.max(t)).alias("last_us")).withColumn("seconds", (F.col("last_us") - F.col("first_us")) / 1_000_000)
+
+
+def in_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The rows of the keys named by ``order``, in that order; keys without rows are left out."""
+    place = F.coalesce(*(F.when(F.col(key) == k, F.lit(i)) for i, k in enumerate(order)), F.lit(None).cast("int"))
+    return df.where(F.col(key).isin(*order)).orderBy(place)

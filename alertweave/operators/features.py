@@ -60,3 +60,49 @@ def projected(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     if dims == 0:
         return v.select(key, vector_to_array("x").alias("features"))
     return PCA(k=dims, inputCol="x", outputCol="y").fit(v).transform(v).select(key, vector_to_array("y").alias("features"))
+
+
+def build_features(rows: DataFrame, top_k: int = 30, time_weight: float = 2.0, coverage: float = 0.7, k_max: int = 200, ts: str = "alert_ts") -> DataFrame:
+    """row_id, indices, values: one sparse row of the feature matrix for each alert row; its width is :func:`feature_width`.
+
+    Three z-scores (seconds since the first alert, weighted; level; log of the count), one-hot decoders (10) and rules
+    (``top_k``), other and null ones together, and multi-hot users, addresses, hosts, rule groups, tactics and techniques
+    over vocabularies by coverage.  Vocabularies are small tables that are broadcast.
+    """
+    from alertweave.functions.normalize import csv_items
+
+    lower = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
+    lists = {"usr": lower("entity_users"), "ip": lower("entity_ips"), "host": lower("entity_hosts"), "grp": csv_items(F.col("rule_groups")), "tac": csv_items(F.col("mitre_tactic")), "tec": csv_items(F.col("mitre_technique"))}
+    base = seconds_since_first(rows.drop("t_seconds"), ts).withColumns({"level": F.coalesce("rule_level", F.lit(0)).cast("double"), "log_count": F.log1p("count")})
+    df = z_scores(base, ["t_seconds", "level", "log_count"], {"t_seconds": time_weight})
+    at = 3
+    hot = []
+    for c, k in (("decoder_name", 10), ("rule_id", top_k)):
+        df = _placed(df, rows.where(F.col(c).isNotNull()), F.array(F.col(c).cast("string")), f"v_{c}", k, 1.0, k)
+        hot.append(F.array(F.coalesce(F.col(f"v_{c}")[F.col(c).cast("string")], F.lit(k + 1)) + (at - 1)))
+        at += k + 1
+    rank = lambda c: lambda x: F.col(f"v_{c}")[x]
+    shift = lambda by: lambda r: r + by
+    for c, items in lists.items():
+        df = _placed(df, rows, items, f"v_{c}", top_k, coverage, k_max)
+        hot.append(F.transform(F.array_sort(F.array_distinct(F.filter(F.transform(items, rank(c)), lambda r: r.isNotNull()))), shift(at - 1)))
+        at += max(top_k, k_max)
+    ones = F.flatten(F.array(*hot))
+    z = F.array("z_t_seconds", "z_level", "z_log_count")
+    return df.select("row_id", F.concat(F.sequence(F.lit(0), F.lit(2)), ones).alias("indices"), F.concat(z, F.transform(ones, lambda _: F.lit(1.0))).alias("values"))
+
+
+def _placed(df: DataFrame, rows: DataFrame, items: Column, name: str, k: int, coverage: float, k_max: int) -> DataFrame:
+    words = vocabulary(rows, items, k, coverage if k_max > k else 0.0, k_max)
+    return df.join(F.broadcast(words.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("item", "rnk"))).alias(name))))  # one row of at most k_max words
+
+
+def feature_width(top_k: int = 30, k_max: int = 200) -> int:
+    """Columns of the matrix: three numbers, decoders and rules with their rest, and six vocabularies."""
+    return 3 + 11 + top_k + 1 + 6 * max(top_k, k_max)
+
+
+def dense(features: DataFrame, width: int) -> DataFrame:
+    """row_id, features: the sparse rows of :func:`build_features` as arrays of ``width`` numbers."""
+    cells = F.map_from_arrays("indices", "values")
+    return features.select("row_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(cells[i], F.lit(0.0))).alias("features"))

@@ -85,15 +85,22 @@ def flattened(json: Column) -> Column:
 
 
 def extracted(json: Column, dialect: str = "strict") -> dict[str, Column]:
-    """users, ips, hosts: sorted distinct canonical entities of a raw alert, with the addresses in its description."""
-    norm = {"user": lambda c: N.norm_user(c, dialect), "ip": lambda c: N.norm_ip(c, dialect, ipv6=False), "host": lambda c: N.norm_host(c, dialect)}
+    """users, ips, hosts: sorted distinct canonical entities of a raw alert, with the addresses in its description.
+
+    Both dialects give entities with their kind in front.
+    """
+    norm = {"user": lambda c: N.norm_user(c, dialect), "ip": lambda c: N.norm_ip(c, dialect), "host": lambda c: N.norm_host(c, dialect)}
+    named = lambda kind: lambda x: F.concat(F.lit(f"{kind}:"), x)
     out = {}
     for kind, paths in ENTITY_PATHS[dialect].items():
         got = F.transform(F.array(*(path(json, p) for p in paths)), norm[kind])
         if kind == "ip":
             text = path(json, "data.description")
-            got = F.concat(got, F.coalesce(N.ips_after_at(text) if dialect == "strict" else F.array(N.norm_ip(N.ip_after_at(text), dialect, ipv6=False)), F.array().cast("array<string>")))
-        got = F.array_sort(F.array_distinct(F.filter(got, lambda x: x.isNotNull())))
+            got = F.concat(got, F.coalesce(N.ips_after_at(text) if dialect == "strict" else F.array(N.norm_ip(N.ip_after_at(text), dialect)), F.array().cast("array<string>")))
+        got = F.filter(got, lambda x: x.isNotNull())
+        if dialect == "simple":
+            got = F.transform(got, named(kind))
+        got = F.array_sort(F.array_distinct(got))
         out[f"{kind}s"] = got
     return out
 

@@ -27,11 +27,19 @@ def entity_pairs(listed: DataFrame, cap: int = POSTINGS) -> DataFrame:
     return first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def edge_gaps(pairs: DataFrame, times: DataFrame) -> DataFrame:
-    """pairs with dt, the gap of the rows' intervals (``times``: row_id, lo, hi in seconds)."""
-    left = times.select(F.col("row_id").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    right = times.select(F.col("row_id").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "shared", gap(*(F.col(c) for c in ("lo1", "hi1", "lo2", "hi2"))).alias("dt"))
+def timed_pairs(listed: DataFrame, cap: int = POSTINGS) -> DataFrame:
+    """a < b, shared, dt: :func:`entity_pairs` with the gap of the rows' intervals.
+
+    ``listed``: row_id, entity (distinct per row), lo, hi in seconds.  The bounds travel in the posting lists, so no join with
+    the rows follows.
+    """
+    few = listed.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("entity")
+    one = F.struct("row_id", "lo", "hi")
+    post = listed.join(few, "entity", "left_semi").groupBy("entity").agg(F.array_sort(F.collect_set(one)).alias("rows"))
+    first = post.select("rows", F.posexplode("rows").alias("i", "x"))
+    met = first.select("x", F.explode(F.slice("rows", F.col("i") + 2, F.size("rows"))).alias("y"))
+    apart = gap(*(F.col(c) for c in ("x.lo", "x.hi", "y.lo", "y.hi")))
+    return met.groupBy(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).agg(F.count("*").alias("shared"), F.min(apart).alias("dt"))
 
 
 def weighted(edges: DataFrame, kind: str = "exponential", tau: float | None = 300.0, cutoff: float | None = None, min_shared: int = 1, min_weight: float = 0.0) -> DataFrame:

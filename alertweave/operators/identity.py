@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertweave.functions import normalize as N
 from alertweave.operators.skew import join_states
+from alertweave.session import materialise
 
+#: The form of an alias, and the marks of a key's source.
 ALIAS = r"^user_[0-9]{4,}_anonymized$"
+KEY_MARKS = ("o365", "ad", "azure", "vcenter", "vc", "win", "windows", "email", "upn")
 
 
 def single_pairs(rows: DataFrame, decoder: str | None = None) -> DataFrame:
@@ -38,7 +43,7 @@ def alias_groups(named: DataFrame, key: str, variant: str) -> DataFrame:
 
 def key_root(c: Column) -> Column:
     """A scenario key without the mark of its source."""
-    return F.regexp_replace(c, r"_(?:o365|ad|azure|vcenter|vc|win|windows|email|upn)$", "")
+    return F.regexp_replace(c, f"_(?:{'|'.join(KEY_MARKS)})$", "")
 
 
 def paired_keys(keys: DataFrame) -> DataFrame:
@@ -99,6 +104,56 @@ def pseudonymise(rows: DataFrame, column: str, aliases: DataFrame, total: int) -
     return named.unionByName(rows.where(F.col(column).isNull()))
 
 
+def lookup(values: DataFrame, column: str, aliases: DataFrame, reverse: bool = False) -> DataFrame:
+    """``values`` with found: the alias of a canonical name, or with ``reverse`` the name of an alias; null where unknown.  Nothing is registered."""
+    of, to = ("alias", "canonical") if reverse else ("canonical", "alias")
+    return values.join(aliases.select(F.col(of).alias(column), F.col(to).alias("found")), column, "left")
+
+
+def bounced(users: DataFrame, column: str, aliases: DataFrame, canonical: DataFrame) -> DataFrame:
+    """``users`` with ``column`` unified in the space of aliases: alias to name, name to its canonical one, and back to an alias.
+
+    ``canonical``: variant, canonical.  What is no alias, or leads to a name without one, stays.
+    """
+    way = aliases.select(F.col("alias").alias(column), F.col("canonical").alias("variant")).join(canonical.withColumnRenamed("canonical", "head"), "variant", "left")
+    way = way.withColumn("head", F.coalesce("head", "variant")).join(aliases.select(F.col("canonical").alias("head"), F.col("alias").alias("to")), "head", "left").select(column, "to")
+    return users.join(way, column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
+
+
+def built_map(*sources: tuple[str, DataFrame]) -> DataFrame:
+    """ip, host, source from named tables of pairs (ip, host, seq), the first with the highest priority: cleaned, first host of an address wins."""
+    each = [
+        df.select(N.clean_ip(F.col("ip")).alias("ip"), N.clean_host(F.col("host")).alias("host"), F.lit(name).alias("source"), F.lit(i).alias("priority"), F.col("seq").cast("bigint").alias("seq"))
+        for i, (name, df) in enumerate(sources)
+    ]
+    return asset_map(functools.reduce(DataFrame.unionByName, each))
+
+
+def anonymise_documents(docs: DataFrame, key: str, c: str, aliases: DataFrame) -> DataFrame:
+    """``docs`` (key, c) with the names in ``c`` replaced by their aliases, for any number of names.
+
+    The text is cut once into words (letters, digits, dots, hyphens, underscores) and what is between; words meet
+    the aliases (canonical, alias) by a join, and DOMAIN\\ in front or @domain behind goes with its name.  A name with
+    white space in it isn't one word and stays.  Null texts stay null; repeated keys are kept apart by row.
+    """
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), key, F.col(c).alias("text"))
+    unit = r"(?U)(?:[\w.-]+\\)?[\w.-]*\w[\w.-]*(?:@[\w.-]*\w)?"
+    words = F.regexp_extract_all("text", F.lit(unit), 0)
+    between = F.split("text", unit, -1)
+    cut = materialise(docs.select("row", key, "text", words.alias("words"), between.alias("between")))
+    long = cut.select("row", F.posexplode("words").alias("i", "w"))
+    bare = F.regexp_replace(F.regexp_replace("w", r"^.*\\", ""), r"@.*$", "")
+    name = F.regexp_extract(bare, r"^[.-]*(.*?)[.-]*$", 1)
+    known = aliases.select(F.lower("canonical").alias("name"), "alias").dropDuplicates(["name"])
+    met = long.select("row", "i", "w", name.alias("shown")).withColumn("name", F.lower("shown")).join(known, "name")
+    lead, tail = F.regexp_extract(bare, r"^([.-]*)", 1), F.when(F.contains("w", F.lit("@")), "").otherwise(F.regexp_extract(bare, r"([.-]*)$", 1))
+    new = met.select("row", "i", F.concat(lead, "alias", tail).alias("to")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "to"))).alias("m"))
+    out = cut.join(new, "row", "left")
+    told = F.transform("words", lambda w, i: F.coalesce(F.col("m")[i], w))
+    text = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col("between").alias("a"), told.alias("b")), lambda s: F.array(F.coalesce(s["a"], F.lit("")), F.coalesce(s["b"], F.lit(""))))), "")
+    return out.select(key, F.when(F.col("m").isNull(), F.col("text")).otherwise(text).alias(c))
+
+
 def anonymise_text(text: Column, names: list[tuple[str, str]]) -> Column:
     """Names in a text by their aliases: DOMAIN\\name, name@domain and the bare name, longest names first."""
     for name, alias in sorted(names, key=lambda x: (-len(x[0]), x[0])):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -71,7 +72,7 @@ def hits(entities: Column, wanted: Column) -> Column:
 
 def phase(entities: Column, users: Sequence[str], addresses: Sequence[str]) -> Column:
     """A where an entity holds a user mark, B where it holds an address mark, A first, else null."""
-    holds = lambda marks: F.exists(entities, lambda e: F.lit(False) if not marks else e.rlike("|".join(m.replace(".", r"\.") for m in marks)))
+    holds = lambda marks: F.exists(entities, lambda e: functools.reduce(Column.__or__, (F.contains(e, F.lit(m)) for m in marks), F.lit(False)))
     return F.when(holds(users), "A").when(holds(addresses), "B")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertweave.functions import normalize as N
 from alertweave.functions import temporal as T
 from alertweave.functions.arrays import entries
-from alertweave.operators import cluster, community, dashboard, dedup, eda, evaluate, features, graph, identity, predicates, prune, report
+from alertweave.operators import cluster, community, dashboard, dedup, eda, evaluate, features, graph, identity, pipeline, predicates, prune, report
 from alertweave.operators.flatten import safe_items
 from alertweave.session import table
 
@@ -182,11 +184,67 @@ def entity_pairs(spark, d):
     return graph.entity_pairs(_listed(spark, d).select("row_id", "entity"))
 
 
+def _seen(spark, d):
+    """Alert rows with first_ts and last_ts: arrival, and the end of the alerts that a row stands for (one a second, ten minutes at most)."""
+    return _alerts(spark, d).withColumns({"first_ts": F.col("alert_ts"), "last_ts": F.timestamp_micros(F.unix_micros("alert_ts") + F.least("count", F.lit(600)) * 1_000_000)})
+
+
+def _spans(spark, d):
+    """row_id, lo, hi, count, decoder_name: the rows as intervals in seconds."""
+    return _seen(spark, d).select("row_id", T.epoch_seconds(F.col("first_ts")).alias("lo"), T.epoch_seconds(F.col("last_ts")).alias("hi"), "count", "decoder_name")
+
+
+def _named(spark, d):
+    """row_id, entity, decoder_name, lo, hi: the listings of a run."""
+    bounds = {"lo": T.epoch_seconds(F.col("first_ts")), "hi": T.epoch_seconds(F.col("last_ts"))}
+    return graph.listings(_seen(spark, d).withColumns(bounds), _entities(), "decoder_name", "lo", "hi")
+
+
 def _edges(spark, d):
-    a = _alerts(spark, d)
-    lo = T.epoch_seconds(F.col("alert_ts"))
-    times = a.select("row_id", lo.alias("lo"), (lo + F.least("count", F.lit(600))).alias("hi"))
-    return graph.edge_gaps(graph.entity_pairs(_listed(spark, d).select("row_id", "entity")), times)
+    return graph.timed_pairs(_named(spark, d))
+
+
+def row_entities(spark, d):
+    """Entities of each row, resolved by the asset map, without infrastructure and promiscuous ones."""
+    kept = pipeline.row_entities(_named(spark, d), asset_map(spark, d))
+    return pipeline.pruned(kept, _alerts(spark, d).count()).select("row_id", "entity")
+
+
+def pipeline_edges(spark, d):
+    kept, pairs = pipeline.prepared(_spans(spark, d), _named(spark, d), asset_map(spark, d))
+    w = pipeline.linked(pairs, pipeline.Settings())
+    return w.select("a", "b", "shared", F.round("dt", 3).alias("dt"), F.round("w", 6).alias("w"))
+
+
+def _run(spark, d):
+    return pipeline.run(_spans(spark, d), _named(spark, d), asset_map(spark, d))
+
+
+def pipeline_communities(spark, d):
+    """The communities of a whole run: entities, graph, communities, consolidation."""
+    return _run(spark, d)
+
+
+def pipeline_documents(spark, d):
+    """The incident documents and the summary of a whole run."""
+    labels = _run(spark, d).select(F.col("node").alias("row_id"), F.col("community").alias("community_id"))
+    rows = _seen(spark, d).drop("community_id").join(labels, "row_id")
+    return report.incident_documents(rows, "first_ts", "last_ts", "run-1").unionByName(report.run_summary(rows, "first_ts", "last_ts", "run-1"))
+
+
+def _swept(spark, d, configs):
+    scenarios = spark.createDataFrame([(k,) for k in SCENARIOS], "scenario string")
+    return pipeline.sweep(_spans(spark, d), _named(spark, d), _hits(spark, d), scenarios, configs, asset_map(spark, d))
+
+
+def tau_sweep(spark, d):
+    """Edges, communities, factor and the scenarios' scores without decay and for each tau, at the least weight 1."""
+    return _swept(spark, d, pipeline.tau_configs([60.0, 3600.0]))
+
+
+def ab_decay(spark, d):
+    """The scenarios' scores under two decays, and what changed."""
+    return pipeline.compared(_swept(spark, d, pipeline.AB))
 
 
 def _weights(kind: str, cutoff: float | None = None):
@@ -272,11 +330,11 @@ def heavy_entities(spark, d):
 
 
 def community_docs(spark, d):
-    return report.incident_documents(_alerts(spark, d), "alert_ts", "run-1").drop("first_us", "last_us")
+    return report.incident_documents(_seen(spark, d), "first_ts", "last_ts", "run-1")
 
 
 def run_summary(spark, d):
-    return report.run_summary(_alerts(spark, d))
+    return report.run_summary(_seen(spark, d), "first_ts", "last_ts", "run-1")
 
 
 def bridge_entities(spark, d):
@@ -309,13 +367,17 @@ def log_histogram(spark, d):
 
 
 def triage_context(spark, d):
-    return report.triage_context(_alerts(spark, d))
+    return report.triage_context(_seen(spark, d), "first_ts", "last_ts")
 
 
 def triage_heuristic(spark, d):
     return report.triage(triage_context(spark, d))
 
 
+def triage_prompts(spark, d):
+    return report.triage_prompts(triage_context(spark, d))
+
+
 SCENARIOS = {"s1": "xenia", "s2": "zoe", "s3": "kira", "s4": "nobody"}
 
 
@@ -372,13 +434,51 @@ def phase_pivot(spark, d):
     return evaluate.phase_table(a)
 
 
+_LISTS = {"users": "entity_users", "ips": "entity_ips", "hosts": "entity_hosts"}
+
+
+def _items():
+    named = {k: entries(F.col(c)) for k, c in _LISTS.items()}
+    return named | {k: N.csv_items(F.col(c)) for k, c in (("groups", "rule_groups"), ("tactics", "mitre_tactic"), ("techniques", "mitre_technique"))}
+
+
 def coverage_topk(spark, d):
-    return features.vocabulary(_alerts(spark, d), entries(F.col("entity_hosts")), 10, 0.3, 50)
+    """The vocabularies of all six lists: thirty items, and more up to 200 until they cover 70 %."""
+    a = _alerts(spark, d)
+    words = [features.vocabulary(a, items, 30).withColumn("list", F.lit(k)) for k, items in _items().items()]
+    return functools.reduce(DataFrame.unionByName, words)
+
+
+def feature_matrix(spark, d):
+    f = features.build_features(_alerts(spark, d))
+    text = lambda c, how: F.array_join(F.transform(c, how), ",").alias(c)
+    return f.select("row_id", text("indices", lambda x: x.cast("string")), text("values", lambda x: F.round(x, 4).cast("string")))
+
+
+def text_anonymize(spark, d):
+    """Rule descriptions and notes with the names of users replaced by their aliases."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return identity.anonymise_documents(docs, "doc_id", "text", alias_assign(spark, d))
+
+
+def alias_lookup(spark, d):
+    """Names of the logons in the map of aliases, and back."""
+    u = table(spark, d, "user_logged_in").select(N.clean_user(F.col("user_id")).alias("name")).where("name is not null").distinct()
+    names = alias_assign(spark, d)
+    found = identity.lookup(u, "name", names).withColumnRenamed("found", "alias")
+    return identity.lookup(found, "alias", names, reverse=True).select("name", "alias", F.col("found").alias("back"))
+
+
+def alias_bounce(spark, d):
+    """Each alias by the alias of the name that its user's names share."""
+    groups = user_alias_groups(spark, d)
+    names = alias_assign(spark, d)
+    return identity.bounced(names.select(F.col("alias").alias("was"), F.col("alias").alias("user")), "user", names, groups)
 
 
 def multi_hot(spark, d):
     a = _alerts(spark, d)
-    hot = features.multi_hot(a, "row_id", entries(F.col("entity_hosts")), features.vocabulary(a, entries(F.col("entity_hosts")), 10, 0.3, 50))
+    hot = features.multi_hot(a, "row_id", entries(F.col("entity_hosts")), features.vocabulary(a, entries(F.col("entity_hosts")), 30))
     return hot.select("row_id", F.array_join(F.transform("hot", lambda x: x.cast("string")), ",").alias("hot"))
 
 
@@ -398,7 +498,7 @@ def dbscan_embeddings(spark, d):
 
 
 def kmeans_embeddings(spark, d):
-    return cluster.k_means(table(spark, d, "embeddings"), "vec_id", "embedding", 10, inits=3)
+    return cluster.k_means(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
 
 
 def agglomerative_embeddings(spark, d):
@@ -468,10 +568,10 @@ QUERIES = {
     for f in (
         dedup_hourly, reduction_kpis, repetition_analysis, freq_tables, field_coverage, entity_cardinality, stratum_share, hash_sample, time_reassign, predicates_null_semantics,
         user_norm, ip_norm, host_norm, ip_extract_docs, match_forms, alias_assign, pseudonymised_users, asset_map, asset_stats, asset_resolve, user_alias_groups,
-        promiscuous_entities, bridge_filter, entity_pairs, edge_stats, dt_quantiles, tau_sweep_edges, connected_components, connected_components_linked, overlapping_communities, consolidate_small,
+        promiscuous_entities, bridge_filter, entity_pairs, edge_stats, dt_quantiles, tau_sweep_edges, row_entities, pipeline_edges, pipeline_communities, pipeline_documents, tau_sweep, ab_decay, connected_components, connected_components_linked, overlapping_communities, consolidate_small,
         louvain_communities, louvain_strong, cluster_summary, community_summary, heavy_entities, community_docs, run_summary, bridge_entities, cluster_breakdown, cross_source, entity_coverage,
-        volume_timeline, size_histogram, log_histogram, triage_context, triage_heuristic, scenario_verdict, scenario_dispersion, first_scenario, ab_compare, ari_vmeasure,
-        cohesion_purity, ami_score, level_over_repetitions, phase_pivot, coverage_topk, multi_hot, one_hot_topk, zscore_features, dbscan_embeddings, kmeans_embeddings,
+        volume_timeline, size_histogram, log_histogram, triage_context, triage_heuristic, triage_prompts, scenario_verdict, scenario_dispersion, first_scenario, ab_compare, ari_vmeasure,
+        cohesion_purity, ami_score, level_over_repetitions, phase_pivot, coverage_topk, feature_matrix, text_anonymize, alias_lookup, alias_bounce, multi_hot, one_hot_topk, zscore_features, dbscan_embeddings, kmeans_embeddings,
         agglomerative_embeddings, hdbscan_embeddings, pca_features, dash_total_alerts, dash_total_alerts_variant, dash_communities, dash_rows, dash_factor, dash_rules,
         dash_community_table, dash_sizes, dash_rules_decoders, dash_tactics, dash_timeline, dash_decoders,
     )

@@ -48,7 +48,15 @@ array_to_string(list_sort(list(DISTINCT rule_id))[1:5], ',') AS rules, count(DIS
 FROM alerts WHERE {g} >= 0 GROUP BY {g})"""
 _HEAVY = """(SELECT community_id, array_to_string(list(item ORDER BY rnk), ',') AS v FROM (SELECT community_id, item, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, item) AS rnk
 FROM (SELECT community_id, unnest({items}) AS item FROM alerts WHERE community_id >= 0) WHERE item <> '' GROUP BY community_id, item) WHERE rnk <= 10 GROUP BY community_id) {name}"""
-_LISTS = {"top_ips": SAFE.format("entity_ips"), "top_users": SAFE.format("entity_users"), "top_hosts": SAFE.format("entity_hosts"), "rules": "[rule_id]", "mitre_tactics": CSV.format("mitre_tactic")}
+SEEN = f"""{ROWS}, seen AS (SELECT *, alert_ts AS first_ts, alert_ts + to_seconds(least("count", 600)) AS last_ts FROM alerts)"""
+_SPAN = "epoch_us(min(first_ts)) AS first_us, epoch_us(max(last_ts)) AS last_us, CAST(coalesce(trunc((epoch_us(max(last_ts)) - epoch_us(min(first_ts))) / 1e6), 0) AS BIGINT) AS duration_seconds"
+_NAMES = "array_to_string(list_sort(list(DISTINCT decoder_name)), ',') AS decoders, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rules"
+_PARTS = "list_filter([trim(x) for x in string_split(coalesce({}, ''), ',')], lambda x: x <> '')"
+_TOLD = {
+    "rules": ("[coalesce(rule_id, 'None')]", 8), "descriptions": ("[rule_description]", 6), "users": (SAFE.format("entity_users"), 10), "ips": (SAFE.format("entity_ips"), 10), "hosts": (SAFE.format("entity_hosts"), 10),
+    "tactics": (_PARTS.format("mitre_tactic"), None), "techniques": (_PARTS.format("mitre_technique"), None), "decoders": ("[coalesce(decoder_name, 'None')]", None),
+}
+_LISTS = {"top_ips": SAFE.format("entity_ips"), "top_users": SAFE.format("entity_users"), "top_hosts": SAFE.format("entity_hosts"), "mitre_tactics": _PARTS.format("mitre_tactic"), "mitre_techniques": _PARTS.format("mitre_technique")}
 
 _CASE = " ".join(f"WHEN first = '{v}' THEN '{k}'" for k, v in SCENARIOS.items())
 HITS = f"""{LISTED}, hits AS (SELECT DISTINCT row_id, scenario FROM (SELECT row_id, CASE {_CASE} END AS scenario FROM
@@ -165,32 +173,40 @@ SQL |= {
     "cluster_summary": f"WITH {ROWS}, {_CLUSTERED.format(g='cluster_id')} SELECT * FROM summ ORDER BY n_alerts DESC, cluster_id LIMIT 20",
     "community_summary": f"WITH {ROWS}, {_CLUSTERED.format(g='community_id')} SELECT * FROM summ ORDER BY n_alerts DESC, community_id LIMIT 15",
     "heavy_entities": f"""SELECT decoder_name, item, count(*) AS n, row_number() OVER (PARTITION BY decoder_name ORDER BY count(*) DESC, item) AS rnk FROM (SELECT decoder_name, unnest({H}) AS item FROM real_alerts_clustered) GROUP BY 1, 2 QUALIFY rnk <= 5""",
-    "community_docs": f"""WITH {ROWS}, base AS (SELECT community_id, {BIG('sum("count")')} AS n_alerts, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_rows, coalesce(bool_or(is_replay), false) AS has_replay,
-        coalesce(max(rule_level), 0)::DOUBLE AS severity_score, array_to_string(list_sort(list(DISTINCT decoder_name)), ',') AS decoders, array_to_string(list_sort(list(DISTINCT rule_description))[1:5], ' | ') AS rule_descriptions,
-        'run-1' AS run_id, false AS is_summary, epoch_us(max(alert_ts)) // 1000000 - epoch_us(min(alert_ts)) // 1000000 AS duration_seconds, round(sum("count") / count(*), 2) AS reduction_factor FROM alerts WHERE community_id >= 0 GROUP BY 1)
-        SELECT base.*, """
+    "community_docs": f"""WITH {SEEN}, base AS (SELECT community_id, {_SPAN}, {BIG('sum("count")')} AS n_alerts, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_rows, coalesce(bool_or(is_replay), false) AS has_replay,
+        {_NAMES}, 'run-1' AS run_id, false AS is_summary, round(sum("count") / count(*), 2) AS reduction_factor FROM seen WHERE community_id >= 0 GROUP BY 1),
+        d AS (SELECT community_id, string_agg(rule_description, ' | ' ORDER BY arrived, rule_description) AS v FROM (SELECT community_id, rule_description, min(row_id) AS arrived FROM seen WHERE community_id >= 0 AND rule_description IS NOT NULL GROUP BY 1, 2
+            QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY min(row_id), rule_description) <= 5) GROUP BY 1)
+        SELECT base.*, coalesce(d.v, '') AS rule_descriptions, NULL::DOUBLE AS severity_score, NULL::VARCHAR AS incident_summary, NULL::VARCHAR AS incident_category, """
     + ", ".join(f"coalesce({n}.v, '') AS {n}" for n in _LISTS)
-    + " FROM base "
-    + " ".join(f"LEFT JOIN {_HEAVY.format(items=i, name=n)} ON {n}.community_id = base.community_id" for n, i in _LISTS.items()),
-    "run_summary": f"""WITH {ROWS} SELECT -1 AS community_id, true AS is_summary, {BIG('sum("count")')} AS n_alerts, count(*) AS n_rows, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS n_clusters,
-        count(DISTINCT CASE WHEN community_id >= 0 THEN community_id END) AS n_communities, round(sum("count") / count(DISTINCT CASE WHEN community_id >= 0 THEN community_id END), 2) AS reduction_factor FROM alerts""",
+    + " FROM base LEFT JOIN d USING (community_id) "
+    + " ".join(f"LEFT JOIN {_HEAVY.format(items=i, name=n).replace('FROM alerts', 'FROM seen')} ON {n}.community_id = base.community_id" for n, i in _LISTS.items()),
+    "run_summary": f"""WITH {SEEN} SELECT -1 AS community_id, 'run-1' AS run_id, true AS is_summary, {_SPAN}, {BIG('sum("count")')} AS n_alerts, count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS n_clusters, count(*) AS n_rows,
+        round(sum("count") / count(DISTINCT CASE WHEN community_id >= 0 THEN community_id END), 2) AS reduction_factor, {_NAMES}, 'Resumen del run' AS rule_descriptions, '' AS top_ips, '' AS top_users, '' AS top_hosts, '' AS mitre_tactics, '' AS mitre_techniques,
+        false AS has_replay, NULL::DOUBLE AS severity_score, NULL::VARCHAR AS incident_summary, '__summary__' AS incident_category FROM seen""",
     "bridge_entities": f"""WITH {ROWS}, e AS (SELECT DISTINCT community_id, cluster_id, row_id, unnest({ENT}) AS entity FROM alerts WHERE community_id >= 0), t AS (SELECT community_id, count(DISTINCT cluster_id) AS total FROM alerts WHERE community_id >= 0 GROUP BY 1),
         p AS (SELECT community_id, entity, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_rows FROM e GROUP BY 1, 2 HAVING count(DISTINCT cluster_id) >= 2)
         SELECT community_id, entity, n_clusters, n_rows, round(n_clusters / total, 6) AS pct, CASE WHEN n_clusters / total > 0.5 THEN 'very generic' WHEN n_clusters / total > 0.3 THEN 'generic' ELSE 'discriminating' END AS label
         FROM p JOIN t USING (community_id) QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY n_clusters DESC, n_rows DESC, entity) <= 15""",
-    "cluster_breakdown": f"""WITH {ROWS}, b AS (SELECT community_id, cluster_id, count(*) AS n_rows, {BIG('sum("count")')} AS n_alerts FROM alerts WHERE community_id >= 0 GROUP BY 1, 2),
+    "cluster_breakdown": f"""WITH {ROWS}, b AS (SELECT community_id, cluster_id, count(*) AS n_rows, {BIG('sum("count")')} AS n_alerts, array_to_string(list_sort(list(DISTINCT decoder_name)), ',') AS decoders, array_to_string(list_sort(list(DISTINCT rule_id))[1:3], ',') AS rules FROM alerts WHERE community_id >= 0 GROUP BY 1, 2),
         e AS (SELECT DISTINCT community_id, cluster_id, unnest({ENT}) AS entity FROM alerts WHERE community_id >= 0), k AS (SELECT *, count(*) OVER (PARTITION BY community_id, entity) AS k FROM e),
-        c AS (SELECT community_id, cluster_id, count(*) FILTER (k > 1) AS n_bridge, count(*) FILTER (k = 1) AS n_unique FROM k GROUP BY 1, 2)
-        SELECT community_id, cluster_id, n_rows, n_alerts, coalesce(n_bridge, 0) AS n_bridge, coalesce(n_unique, 0) AS n_unique FROM b LEFT JOIN c USING (community_id, cluster_id)""",
+        c AS (SELECT community_id, cluster_id, count(*) FILTER (k > 1) AS n_bridge, count(*) FILTER (k = 1) AS n_unique, array_to_string(list_sort(list(entity) FILTER (k > 1))[1:10], ',') AS bridges, array_to_string(list_sort(list(entity) FILTER (k = 1))[1:10], ',') AS uniques FROM k GROUP BY 1, 2)
+        SELECT community_id, cluster_id, n_rows, n_alerts, decoders, rules, coalesce(n_bridge, 0) AS n_bridge, coalesce(n_unique, 0) AS n_unique, coalesce(bridges, '') AS bridges, coalesce(uniques, '') AS uniques FROM b LEFT JOIN c USING (community_id, cluster_id)""",
     "cross_source": f"""WITH {ROWS} SELECT community_id, count(DISTINCT decoder_name) AS n_decoders, {BIG('sum("count")')} AS n_alerts, count(*) AS n_rows FROM alerts WHERE community_id >= 0 GROUP BY 1 HAVING count(DISTINCT decoder_name) > 1 ORDER BY n_alerts DESC, community_id LIMIT 10""",
     "entity_coverage": f"""WITH c AS (SELECT len({SAFE.format("entity_users")}) > 0 AS u, len({SAFE.format("entity_ips")}) > 0 AS i, len({SAFE.format("entity_hosts")}) > 0 AS h FROM real_alerts_clustered)
         SELECT round(avg(u::INTEGER), 6) AS users, round(avg(i::INTEGER), 6) AS ips, round(avg(h::INTEGER), 6) AS hosts, round(avg((u OR i OR h)::INTEGER), 6) AS any_entity FROM c""",
     "volume_timeline": f"""SELECT epoch_us(date_trunc('minute', alert_ts)) AS start_us, count(*) AS n_rows, {BIG('sum("count")')} AS n_alerts FROM real_alerts_clustered WHERE alert_ts IS NOT NULL GROUP BY 1""",
     "size_histogram": """WITH s AS (SELECT count(*) AS size FROM real_alerts_clustered WHERE cluster_id >= 0 GROUP BY cluster_id) SELECT least(20, CAST(floor((size - 1) / 10.0) AS BIGINT) + 1) AS bin, count(*) AS n FROM s WHERE size BETWEEN 1 AND 201 GROUP BY 1""",
     "log_histogram": """SELECT CAST(floor(log10("count") + 1e-12) AS BIGINT) AS bin, count(*) AS n FROM real_alerts_clustered WHERE "count" > 0 GROUP BY 1""",
-    "triage_context": f"""WITH {ROWS}, u AS (SELECT community_id, count(DISTINCT x) AS n_users, bool_or(starts_with(x, 'svc-')) AS svc FROM (SELECT community_id, unnest({U}) AS x FROM alerts WHERE community_id >= 0) GROUP BY 1)
-        SELECT community_id, count(*) AS n_rows, {BIG('sum("count")')} AS n_alerts, coalesce(max(rule_level), 0) AS max_level, count(DISTINCT decoder_name) > 1 AS is_cross, coalesce(any_value(n_users), 0) AS n_users, coalesce(any_value(svc), false) AS svc
-        FROM alerts LEFT JOIN u USING (community_id) WHERE community_id >= 0 GROUP BY community_id""",
+    "triage_context": f"""WITH {SEEN}, base AS (SELECT community_id, count(*) AS n_rows, {BIG('sum("count")')} AS n_alerts, count(DISTINCT cluster_id) AS n_clusters, {_SPAN}, max(rule_level) AS max_level, count(DISTINCT coalesce(decoder_name, 'None')) > 1 AS is_cross FROM seen WHERE community_id >= 0 GROUP BY 1)
+        SELECT base.*, """
+    + ", ".join(f"coalesce({n}.v, '') AS {n}" for n in _TOLD)
+    + " FROM base "
+    + " ".join(
+        f"""LEFT JOIN (SELECT community_id, string_agg({"item || ':' || n" if n == "rules" else "item"}, '|' ORDER BY n DESC, item) AS v FROM (SELECT community_id, item, count(*) AS n FROM (SELECT community_id, unnest({i}) AS item FROM seen WHERE community_id >= 0)
+        WHERE item <> '' GROUP BY 1, 2 {f'QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, item) <= {k}' if k else ''}) GROUP BY 1) {n} ON {n}.community_id = base.community_id"""
+        for n, (i, k) in _TOLD.items()
+    ),
     "scenario_verdict": f"""WITH {HITS}, {_scored("community_id", "s")} SELECT scenario, n_rows, main_comm, recall, purity, is_cross, CASE WHEN n_rows = 0 THEN 'NOT DETECTED' WHEN main_comm IS NULL THEN 'NO COMMUNITY' WHEN count(main_comm) OVER (PARTITION BY main_comm) > 1 THEN 'FAIL shared'
         WHEN recall >= 0.3 AND purity >= 0.5 THEN 'OK' WHEN purity < 0.5 THEN 'WEAK purity' ELSE 'WEAK recall' END AS verdict FROM s""",
     "scenario_dispersion": f"""WITH {HITS}, p AS (SELECT scenario, community_id, count(*) AS n FROM hits JOIN alerts USING (row_id) WHERE community_id >= 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY n DESC, community_id) AS k FROM p)
@@ -206,7 +222,7 @@ SQL |= {
         SELECT t.scenario, round(coalesce(m.n / t.n, 0), 6) AS cohesion, round(coalesce(m.n / z.n, 0), 6) AS purity FROM (SELECT scenario, sum(n) AS n FROM c GROUP BY 1) t LEFT JOIN m USING (scenario) LEFT JOIN (SELECT c, sum(n) AS n FROM c GROUP BY 1) z ON z.c = m.c""",
     "level_over_repetitions": "SELECT decoder_name, round(avg(coalesce(rule_level, 0)), 6) AS mean, round(stddev_pop(coalesce(rule_level, 0)), 6) AS std FROM real_alerts_clustered GROUP BY 1",
     "phase_pivot": f"""WITH {ROWS}, p AS (SELECT community_id, CASE WHEN len(list_filter({SAFE.format("entity_hosts")}, lambda x: contains(x, 'nx-gate'))) > 0 THEN 'A' WHEN len(list_filter({SAFE.format("entity_hosts")}, lambda x: contains(x, 'ad-core') OR contains(x, 'mail-hub'))) > 0 THEN 'B' END AS phase FROM alerts)
-        SELECT community_id, count(*) FILTER (phase = 'A') AS a, count(*) FILTER (phase = 'B') AS b FROM p WHERE phase IS NOT NULL GROUP BY 1""",
+        SELECT community_id, count(*) FILTER (phase = 'A') AS a, count(*) FILTER (phase = 'B') AS b, count(*) FILTER (phase IS NULL) AS other, count(*) FILTER (phase = 'A') > 0 AND count(*) FILTER (phase = 'B') > 0 AS both FROM p GROUP BY 1""",
     "zscore_features": """WITH b AS (SELECT row_id, coalesce((epoch_us(alert_ts) - min(epoch_us(alert_ts)) OVER ()) / 1e6, 0.0) AS t, coalesce(rule_level, 0) AS l, ln(1 + "count") AS c FROM real_alerts_clustered)
         SELECT row_id, round(2 * (t - avg(t) OVER ()) / stddev_pop(t) OVER (), 5) AS z_t_seconds, round((l - avg(l) OVER ()) / stddev_pop(l) OVER (), 5) AS z_level, round((c - avg(c) OVER ()) / stddev_pop(c) OVER (), 5) AS z_log_count FROM b""",
     "dbscan_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), near AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_distance(p.e, q.e) <= 1.15),
@@ -231,16 +247,41 @@ SQL |= {
     "dash_decoders": f"""SELECT decoder_name, {BIG('sum("count")')} AS n_alerts FROM real_alerts_clustered WHERE decoder_name IS NOT NULL GROUP BY 1 ORDER BY n_alerts DESC, decoder_name LIMIT 10""",
 }
 SQL |= {f"edge_weights_{k}": _weights(k) for k in DECAY}
-SQL["triage_heuristic"] = f"""WITH c AS ({SQL["triage_context"]}) SELECT community_id, CASE WHEN svc AND NOT is_cross THEN 'informational' WHEN is_cross AND max_level >= 10 THEN 'high' WHEN is_cross THEN 'medium' ELSE 'low' END AS severity, svc AND NOT is_cross AS benign,
-CAST(n_users > 4 AS INTEGER) + CAST(NOT is_cross AS INTEGER) AS n_doubts FROM c"""
+SQL["triage_heuristic"] = f"""WITH c AS (SELECT *, list_filter(string_split(users, '|'), lambda x: x <> '') AS u, list_filter(string_split(ips, '|'), lambda x: x <> '') AS i, coalesce(max_level, 0) AS lvl FROM ({SQL["triage_context"]})),
+    x AS (SELECT *, len(list_filter(u, lambda x: starts_with(lower(x), 'svc-') OR starts_with(lower(x), 'user:svc-'))) > 0 AND NOT is_cross AS svc FROM c)
+    SELECT community_id, CASE WHEN svc THEN 'service accounts, probably maintenance' WHEN is_cross AND lvl >= 10 THEN 'several sources with rules of high level' WHEN is_cross THEN 'correlated activity of several sources' ELSE 'activity of a single source' END AS incident_type,
+    CASE WHEN svc THEN 'informativa' WHEN is_cross AND lvl >= 10 THEN 'alta' WHEN is_cross THEN 'media' ELSE 'baja' END AS severity, svc AS benign, array_to_string(list_concat(u[1:3], i[1:3]), '|') AS key_entities,
+    array_to_string(list_filter([CASE WHEN len(u) > 4 THEN 'many users without a visible relation: the grouping may be an artefact' END, CASE WHEN NOT is_cross THEN 'a single source: little evidence' END], lambda x: x IS NOT NULL), '|') AS doubts,
+    'review the original alerts of the community|check whether the entities are expected to do this' AS actions, 'baja' AS confidence,
+    'Community of ' || n_rows || ' rows and ' || n_alerts || ' alerts, ' || CASE WHEN is_cross THEN 'several sources' ELSE 'one source' END || ' (' || replace(decoders, '|', ', ') || ').' AS narrative FROM x"""
+
+_ITEMS = {"users": U, "ips": I, "hosts": H} | {k: CSV.format(c) for k, c in (("groups", "rule_groups"), ("tactics", "mitre_tactic"), ("techniques", "mitre_technique"))}
 
-_VOCAB = f"""{ROWS}, w AS (SELECT item, count(*) AS n FROM (SELECT unnest({H}) AS item FROM alerts) GROUP BY 1), r AS (SELECT item, n, row_number() OVER (ORDER BY n DESC, item) AS rnk, coalesce(sum(n) OVER (ORDER BY n DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-sum(n) OVER () AS total FROM w), vocab AS (SELECT item, n, rnk FROM r WHERE rnk <= 10 OR (rnk <= 50 AND before < total * 0.3))"""
+
+def _vocab(items: str) -> str:
+    return f"""(SELECT item, n, rnk FROM (SELECT item, n, row_number() OVER (ORDER BY n DESC, item) AS rnk, coalesce(sum(n) OVER (ORDER BY n DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(n) OVER () AS total FROM (SELECT item, count(*) AS n FROM (SELECT unnest({items}) AS item FROM real_alerts_clustered) GROUP BY 1)) WHERE rnk <= 30 OR (rnk <= 200 AND before < total * 0.7))"""
+
+
+_VOCAB = f"{ROWS}, vocab AS {_vocab(H)}"
 SQL |= {
-    "coverage_topk": f"WITH {_VOCAB} SELECT item, n, rnk FROM vocab",
+    "coverage_topk": " UNION ALL ".join(f"SELECT '{k}' AS list, * FROM {_vocab(i)}" for k, i in _ITEMS.items()),
     "multi_hot": f"""WITH {_VOCAB}, x AS (SELECT row_id, unnest({H}) AS item FROM alerts), h AS (SELECT row_id, array_to_string(list(CAST(rnk AS VARCHAR) ORDER BY rnk), ',') AS hot FROM x JOIN vocab USING (item) GROUP BY 1) SELECT row_id, coalesce(hot, '') AS hot FROM alerts LEFT JOIN h USING (row_id)""",
     "one_hot_topk": "WITH t AS (SELECT rule_id FROM real_alerts_clustered WHERE rule_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, rule_id LIMIT 10) SELECT coalesce(t.rule_id, '__other__') AS rule_id_hot, count(*) AS n FROM real_alerts_clustered a LEFT JOIN t ON t.rule_id = a.rule_id GROUP BY 1",
 }
 
 SQL["ip_extract_docs"] = rf"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '@([0-9A-Fa-f:.]+)', 1) AS found FROM documents WHERE contains(text, '@'))
 SELECT doc_id, nullif(regexp_extract(text, '@(\d{{1,3}}(\.\d{{1,3}}){{3}})', 1), '') AS first_ip, array_to_string([('ip:' || x) for x in list_filter(found, lambda x: regexp_matches(x, '{V4}') AND NOT starts_with(x, '127.') AND x NOT IN ('0.0.0.0', '255.255.255.255'))], ',') AS all_ips FROM d"""
+
+
+_KEPT = f"""{LISTED}, {_MAP}, known AS (SELECT 'ip:' || ip AS entity, 'asset:' || x.host AS t FROM amap UNION SELECT 'host:' || x.host, 'asset:' || x.host FROM amap),
+res AS (SELECT DISTINCT row_id, decoder_name, coalesce(t, entity) AS entity FROM listed LEFT JOIN known USING (entity)),
+clear AS (SELECT * FROM res WHERE NOT (lower(entity) = '' OR lower(entity) IN {_in(P.INFRASTRUCTURE)} OR regexp_matches(lower(entity), '{"|".join(P.INFRASTRUCTURE_PATTERNS)}'))),
+bad AS (SELECT entity FROM clear GROUP BY entity HAVING count(DISTINCT row_id) >= greatest(3, round_even((SELECT count(*) FROM alerts) * 0.1, 0)) OR count(DISTINCT decoder_name) > 4),
+kept AS (SELECT row_id, entity FROM clear ANTI JOIN bad USING (entity))"""
+SQL["row_entities"] = f"WITH {_KEPT} SELECT row_id, entity FROM kept"
+SQL["pipeline_edges"] = f"""WITH {_KEPT}, few AS (SELECT entity FROM kept GROUP BY entity HAVING count(*) BETWEEN 2 AND 400), post AS (SELECT row_id, entity FROM kept SEMI JOIN few USING (entity)),
+    pairs AS (SELECT p.row_id AS a, q.row_id AS b, count(*) AS shared FROM post p JOIN post q ON p.entity = q.entity AND p.row_id < q.row_id GROUP BY 1, 2),
+    times AS (SELECT row_id, epoch_us(alert_ts) / 1e6 AS lo, epoch_us(alert_ts) / 1e6 + least("count", 600) AS hi FROM alerts),
+    edges AS (SELECT a, b, shared, greatest(0.0, greatest(x.lo, y.lo) - least(x.hi, y.hi)) AS dt FROM pairs JOIN times x ON x.row_id = a JOIN times y ON y.row_id = b)
+    SELECT a, b, shared, round(dt, 3) AS dt, round(shared * exp(-dt / 300.0), 6) AS w FROM edges WHERE shared * exp(-dt / 300.0) > 0"""

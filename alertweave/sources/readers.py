@@ -94,3 +94,34 @@ def alias_map(spark: SparkSession, path: str) -> DataFrame:
     if df.where("canonical is null or id is null").limit(1).count():
         raise ValueError(f"the alias map {path} is corrupt")
     return df
+
+
+def asset_map(spark: SparkSession, path: str) -> DataFrame:
+    """ip, host, source of a persisted asset map; a broken one is an error."""
+    df = spark.read.option("mode", "FAILFAST").schema("ip string, host string, source string").json(path)
+    if df.where("ip is null or host is null").limit(1).count():
+        raise ValueError(f"the asset map {path} is corrupt")
+    return df
+
+
+def next_id(known: DataFrame, declared: int = 0) -> int:
+    """The id that the next alias gets: the largest of the declared one, one after the largest known and one after their number."""
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"), F.count("*").alias("n")).first()
+    return max(declared, top["m"] + 1, top["n"] + 1)
+
+
+def counted(df: DataFrame) -> int:
+    """The rows that a scan would give, -1 where it fails; a caller ends on 0 or less."""
+    from pyspark.errors import PySparkException
+
+    try:
+        return df.count()
+    except PySparkException:
+        return -1
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a path, in order of name, in any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(f.getPath()) for f in fs.listStatus(at) if f.isDirectory())

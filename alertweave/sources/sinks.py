@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +17,43 @@ def overwrite(df: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def append_csv(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Appends metrics with the union of both schemas; the old ones are rewritten beside and swapped in."""
-    if Path(path).exists():
-        df = spark.read.option("header", True).csv(path).unionByName(df.select(*(F.col(c).cast("string") for c in df.columns)), allowMissingColumns=True)
-    new = f"{path}.new"
-    overwrite(df, new, "csv")
-    old = f"{path}.old"
-    if Path(path).exists():
-        os.rename(path, old)
-    os.rename(new, path)
-    if Path(old).exists():
-        import shutil
+    """Appends metrics; each write adds files with its own header, and :func:`appended_csv` reads the union of all columns.
+
+    Nothing is rewritten or renamed, so any shared store will do.
+    """
+    df.coalesce(1).write.mode("append").option("header", True).csv(f"{path}/columns={'+'.join(df.columns)}")
+
+
+def appended_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that were appended, as text, with the union of their columns."""
+    from alertweave.sources.readers import folders
 
-        shutil.rmtree(old)
+    parts = [spark.read.option("header", True).csv(p) for p in folders(spark, path)]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def documents(df: DataFrame, path: str, key: str) -> None:
-    """One folder of JSON for each value of ``key``."""
+def documents(df: DataFrame, path: str, key: str, index: DataFrame | None = None) -> None:
+    """One folder of JSON for each value of ``key``; ``index`` goes beside them into _index."""
     df.write.mode("overwrite").partitionBy(key).json(path)
+    if index is not None:
+        index.coalesce(1).write.mode("overwrite").json(f"{path}/_index")
+
+
+def log_append(df: DataFrame, paths: dict[str, str], source: str = "source", line: str = "line") -> None:
+    """Appends the lines of each source to the folder registered for it; a source that isn't registered is an error."""
+    unknown = df.where(~F.coalesce(F.col(source).isin(*paths), F.lit(False))).select(source).limit(1).collect()
+    if unknown:
+        raise KeyError(unknown[0][0])
+    for name, path in paths.items():
+        df.where(F.col(source) == name).select(F.col(line).alias("value")).write.mode("append").text(path)
+
+
+def report(df: DataFrame, path: str, rows: int = 50) -> str:
+    """The first rows as a text table, written to ``path`` and returned for the screen."""
+    names, top = df.columns, df.limit(rows).collect()
+    text = "\n".join("\t".join("" if x is None else str(x) for x in r) for r in [names, *top])
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
 
 
 def declared_table(df: DataFrame, name: str, schema: str, recreate: bool = False) -> None:

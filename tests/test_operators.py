@@ -56,10 +56,8 @@ GOLDEN = [(0, 0, "user:a"), (80, 140, "user:b"), (180, 180, "user:c"), (260, 260
 
 @pytest.fixture(scope="module")
 def golden(spark):
-    listed = [(i, e) for i, (_, _, x) in enumerate(GOLDEN) for e in ["ip:X", x] if e]
-    pairs = graph.entity_pairs(spark.createDataFrame(listed, "row_id bigint, entity string"))
-    times = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b, _) in enumerate(GOLDEN)], "row_id bigint, lo double, hi double")
-    return graph.edge_gaps(pairs, times)
+    listed = [(i, e, float(lo), float(hi)) for i, (lo, hi, x) in enumerate(GOLDEN) for e in ["ip:X", x] if e]
+    return graph.timed_pairs(spark.createDataFrame(listed, "row_id bigint, entity string, lo double, hi double"))
 
 
 @pytest.mark.parametrize(("kind", "tau", "edges", "weight"), [("none", None, 36, 36.0), ("exponential", 60, 36, 4.142920), ("exponential", 300, 36, 11.001982), ("gaussian", 300, 36, 12.917236), ("linear", 300, 15, 9.5), ("power", 300, 36, 13.347848)])
@@ -85,7 +83,9 @@ def test_isolated_rows(spark):
     assert rows(community.detect_communities(nodes, edges.limit(0)), "node", "community") == {(1, 1), (2, -1), (3, 3), (4, 4)}
 
 
-def test_components_of_a_long_path_and_two_cliques(spark):
+@pytest.mark.parametrize("batch", [community.BATCH, 0])  # in one task, and in rounds
+def test_components_of_a_long_path_and_two_cliques(spark, monkeypatch, batch):
+    monkeypatch.setattr(community, "BATCH", batch)
     path = [(i, i + 1) for i in range(60)] + [(a, b) for a, b in itertools.combinations(range(100, 104), 2)] + [(200, 200)]
     nodes = spark.createDataFrame([(i,) for i in [*range(61), *range(100, 104), 200]], "node bigint")
     got = dict(rows(community.connected_components(nodes, spark.createDataFrame(path, "a bigint, b bigint")), "node", "component"))
@@ -186,10 +186,19 @@ def test_clusterings_find_blobs(spark):
 
 def test_reports(spark, alerts):
     df = alerts(*({"community_id": c, "cluster_id": k, "count": n, "decoder_name": d, "rule_id": "1", "rule_level": 12, "entity_users": u, "alert_ts": sec(n)} for c, k, n, d, u in ((1, 1, 5, "a", ["svc-x", "u"]), (1, 2, 3, "b", ["u"]), (2, -1, 1, "a", ["svc-y"]), (-1, -1, 9, "a", None))))
-    ctx = report.triage_context(df)
-    assert rows(report.triage(ctx), "community_id", "severity", "benign", "n_doubts") == {(1, "high", False, 0), (2, "informational", True, 1)}
-    assert report.run_summary(df).first().reduction_factor == 9.0
-    assert report.run_summary(df.limit(0)).first().n_alerts == 0
+    df = df.withColumns({"mitre_tactic": F.lit("T 10, T 2"), "mitre_technique": F.lit(""), "is_replay": F.lit(None).cast("boolean"), "rule_description": F.concat(F.lit("d"), 9 - F.col("row_id"))})
+    ctx = report.triage_context(df, "alert_ts", "alert_ts")
+    assert rows(ctx, "community_id", "rules", "users", "tactics", "techniques", "duration_seconds") == {(1, "1:2", "u|svc-x", "T 10|T 2", "", 2), (2, "1:1", "svc-y", "T 10|T 2", "", 0)}
+    answers = report.triage(ctx)
+    assert rows(answers, "community_id", "severity", "benign", "key_entities") == {(1, "alta", False, "u|svc-x"), (2, "informativa", True, "svc-y")}
+    assert rows(report.triage(ctx.withColumn("users", F.lit("user:SVC-x"))), "community_id", "severity") == {(1, "alta"), (2, "informativa")}
+    assert rows(report.triage_index(answers), "community_id", "file") == {(1, "community_1.json"), (2, "community_2.json")}
+    assert all('"users":' in r.prompt and "severidad" in r.prompt for r in report.triage_prompts(ctx).collect())
+    docs = report.incident_documents(df, "alert_ts", "alert_ts", "r")
+    assert rows(docs, "community_id", "rule_descriptions", "n_alerts", "has_replay", "severity_score") == {(1, "d8 | d7", 8, False, None), (2, "d6", 1, False, None)}
+    total = report.run_summary(df, "alert_ts", "alert_ts", "r")
+    assert total.columns == docs.columns and total.first().reduction_factor == 9.0 and total.first().decoders == "a,b"
+    assert report.run_summary(df.limit(0), "alert_ts", "alert_ts", "r").first().n_alerts == 0
     assert rows(report.cross_source(df), "community_id", "n_decoders") == {(1, 2)}
     got = report.heavy(df.select("decoder_name", F.explode("entity_users").alias("u")), ["decoder_name"], F.col("u"), 1)
     assert rows(got, "decoder_name", "item") == {("a", "svc-x"), ("b", "u")}
@@ -225,9 +234,17 @@ def test_sinks(spark, tmp_path):
     path = str(tmp_path / "m.csv")
     sinks.append_csv(spark, df, path)
     sinks.append_csv(spark, df.withColumn("w", F.lit(2)), path)
-    assert {(r.id, r.w) for r in readers.csv(spark, path).collect()} == {(1, None), (1, 2)}
-    sinks.documents(df, str(tmp_path / "docs"), "id")
-    assert spark.read.json(str(tmp_path / "docs")).count() == 1
+    sinks.append_csv(spark, df, path)
+    assert sorted((r.id, r.w or "") for r in sinks.appended_csv(spark, path).collect()) == [("1", ""), ("1", ""), ("1", "2")]
+    sinks.documents(df, str(tmp_path / "docs"), "id", df.select(F.lit("f").alias("file")))
+    assert spark.read.json(str(tmp_path / "docs" / "id=1")).count() == 1 and spark.read.json(str(tmp_path / "docs" / "_index")).first().file == "f"
+    lines = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z")], "source string, line string")
+    for _ in range(2):
+        sinks.log_append(lines, {"a": str(tmp_path / "la"), "b": str(tmp_path / "lb")})
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "la")).collect()) == ["x", "x", "z", "z"]
+    with pytest.raises(KeyError):
+        sinks.log_append(lines, {"a": str(tmp_path / "la")})
+    assert sinks.report(df, str(tmp_path / "report")) == "id\tv\n1\tx" and spark.read.text(str(tmp_path / "report")).count() == 2
     sinks.declared_table(df, "alertweave_t", "id bigint, v string, w double", recreate=True)
     assert spark.table("alertweave_t").dtypes == [("id", "bigint"), ("v", "string"), ("w", "double")]
     assert sinks.bulk(spark.range(10), lambda batch: [r["id"] != 3 for r in batch], 4).first().asDict() == {"n_ok": 9, "n_failed": 1}
