@@ -285,3 +285,8 @@ SQL["pipeline_edges"] = f"""WITH {_KEPT}, few AS (SELECT entity FROM kept GROUP
     times AS (SELECT row_id, epoch_us(alert_ts) / 1e6 AS lo, epoch_us(alert_ts) / 1e6 + least("count", 600) AS hi FROM alerts),
     edges AS (SELECT a, b, shared, greatest(0.0, greatest(x.lo, y.lo) - least(x.hi, y.hi)) AS dt FROM pairs JOIN times x ON x.row_id = a JOIN times y ON y.row_id = b)
     SELECT a, b, shared, round(dt, 3) AS dt, round(shared * exp(-dt / 300.0), 6) AS w FROM edges WHERE shared * exp(-dt / 300.0) > 0"""
+
+_LOGONS = SQL["user_norm"].replace("SELECT DISTINCT unnest(entity_users) AS raw FROM real_alerts_clustered", "SELECT DISTINCT user_id AS raw FROM user_logged_in")
+SQL["alias_lookup"] = f"""WITH m AS ({SQL["alias_assign"]}), n AS ({_LOGONS}) SELECT DISTINCT clean_name AS name, alias, canonical AS back FROM n LEFT JOIN m ON canonical = clean_name WHERE clean_name IS NOT NULL"""
+SQL["alias_bounce"] = f"""WITH m AS ({SQL["alias_assign"]}), g AS ({SQL["user_alias_groups"]}), w AS (SELECT m.alias, coalesce(g.canonical, m.canonical) AS head FROM m LEFT JOIN g ON g.variant = m.canonical)
+    SELECT w.alias AS was, coalesce(h.alias, w.alias) AS "user" FROM w LEFT JOIN m h ON h.canonical = w.head"""
