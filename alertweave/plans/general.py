@@ -12,7 +12,7 @@ from alertweave.session import table
 
 def p1_entity_load(spark: SparkSession, d: str) -> DataFrame:
     load = entity_load(table(spark, d, "real_alerts_clustered"), table(spark, d, "user_logged_in"))
-    return load.select("kind", "entity", "n_rows", "n_alerts", "n_logons", "n_pairs", "n_alert_logons")
+    return load.select("kind", "entity", "n_rows", "n_alerts", "n_decoders", "n_logons", "n_pairs", "n_alert_logons")
 
 
 def p1_found(spark: SparkSession, d: str, share: float = 0.02) -> DataFrame:
@@ -52,13 +52,13 @@ def _entries(c: str) -> str:
 
 
 _LISTED = f"""
-listed AS (SELECT kind, entity, count(*) AS n_rows, CAST(sum(coalesce("count", 0)) AS BIGINT) AS n_alerts FROM (
-    SELECT 'host' AS kind, unnest({_entries('entity_hosts')}) AS entity, "count" FROM real_alerts_clustered UNION ALL
-    SELECT 'ip', unnest({_entries('entity_ips')}), "count" FROM real_alerts_clustered) GROUP BY ALL)"""
+listed AS (SELECT kind, entity, count(*) AS n_rows, CAST(sum(coalesce("count", 0)) AS BIGINT) AS n_alerts, count(DISTINCT coalesce(decoder_name, '')) AS n_decoders FROM (
+    SELECT 'host' AS kind, unnest({_entries('entity_hosts')}) AS entity, "count", decoder_name FROM real_alerts_clustered UNION ALL
+    SELECT 'ip', unnest({_entries('entity_ips')}), "count", decoder_name FROM real_alerts_clustered) GROUP BY ALL)"""
 
 SQL = {
     "p1_found": f"""WITH {_LISTED} SELECT kind, entity FROM listed WHERE n_rows >= 0.02 * (SELECT count(*) FROM real_alerts_clustered)""",
     "p1_entity_load": f"""WITH {_LISTED}, seen AS (SELECT lower(trim(client_ip, {_BLANKS})) AS entity, count(*) AS n FROM user_logged_in GROUP BY 1)
-        SELECT kind, l.entity, n_rows, n_alerts, coalesce(n, 0) AS n_logons, n_rows * coalesce(n, 0) AS n_pairs, n_alerts * coalesce(n, 0) AS n_alert_logons
+        SELECT kind, l.entity, n_rows, n_alerts, n_decoders, coalesce(n, 0) AS n_logons, n_rows * coalesce(n, 0) AS n_pairs, n_alerts * coalesce(n, 0) AS n_alert_logons
         FROM listed l LEFT JOIN seen s ON l.kind = 'ip' AND l.entity = s.entity""",
 }
