@@ -23,7 +23,7 @@ from alertweave.session import materialise
 CAPACITY = 2048
 DIMENSIONS = 3
 BITS = 8  # of a dimension's place on the curve
-WINDOW = 4096  # texts packed at a time
+WINDOW = 1024  # texts packed at a time
 OPEN = 64  # containers kept open between windows
 RANGE = 20_000  # texts of a range, about
 
@@ -122,7 +122,7 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, path: str | None
     grid = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     edges = [np.array(q) for q in cuts.approxQuantile(cuts.columns, grid, 0.002)]  # DIMENSIONS x 255 numbers
     total = docs.count()
-    ranges = max(1, min(total // RANGE, 100_000))
+    ranges = max(1, total // RANGE)
 
     @F.pandas_udf("bigint")
     def place(v: pd.Series) -> pd.Series:
