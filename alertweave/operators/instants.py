@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertweave.functions.arrays import strip_blanks
+from alertweave.functions.arrays import BLANKS, strip_blanks
 from alertweave.functions.barrier import settle
 from alertweave.session import materialise
 
@@ -309,23 +309,30 @@ SOURCES = 10_000  # mixtures of sources that are broadcast; more are joined by s
 
 
 def notation_signatures(df: DataFrame, value: str, source: str) -> DataFrame:
-    """i_source, notations, n: for each source how many of its values are valid dates in which notations (map-side combined)."""
-    df = settle(df.select(F.col(source).alias("i_source"), strip_blanks(F.col(value)).alias("v")).where("v is not null"), head=F.substring("v", 1, 12))
-    df = settle(df, p=F.split(F.regexp_extract("head", r"^(\d{1,2}/\d{1,2})/", 1), "/"))
-    df = settle(df, a=F.expr("try_cast(p[0] as int)"), b=F.expr("try_cast(get(p, 1) as int)"))
+    """i_source, notations, n: for each source how many of its values are valid dates in which notations.
+
+    The first six characters tell the notation, and whether the ninth is a digit: values are counted by these (a few
+    thousand for a source, combined on the map side) before any of them is looked at.
+    """
+    first = F.substring("v", 1, 1)
+    plain = F.when((first > " ") & (first < "\x7f"), F.col("v")).otherwise(F.ltrim(F.col("v"), F.lit(BLANKS)))
+    heads = df.select(F.col(source).alias("i_source"), F.col(value).alias("v")).where("v is not null").select("i_source", plain.alias("v"))
+    counts = heads.groupBy("i_source", F.substring("v", 1, 6).alias("head"), F.substring("v", 9, 1).between("0", "9").alias("long")).agg(F.count("*").alias("n"))
+    shape = F.translate("head", "0123456789", "0000000000")
+    begins = lambda *starts: functools.reduce(Column.__or__, (shape.startswith(x) for x in starts))
+    day = lambda n: F.when(begins("0/", "00/"), F.substring_index(F.substring_index("head", "/", n), "/", -1).try_cast("int"))
+    counts = settle(counts, a=day(1), b=day(2))
     dmy = F.col("a").between(1, 31) & F.col("b").between(1, 12)
     mdy = F.col("b").between(1, 31) & F.col("a").between(1, 12)
-    like = lambda pattern: F.col("head").rlike(pattern)
     notations = (
-        F.when(F.size("p") == 2, F.array_compact(F.array(F.when(dmy, "dmy"), F.when(mdy, "mdy"))))
-        .when(like(r"^\d{4}[-/]"), F.array(F.lit("ymd")))
-        .when(like(r"^\d{1,2}\."), F.array(F.lit("dotted")))
-        .when(like(r"^(?:[A-Za-z]{3}, )?\d{1,2}[ -][A-Za-z]"), F.array(F.lit("named")))
-        .when(like(r"^[A-Za-z]{3}\s"), F.array(F.lit("month")))
-        .when(like(r"^\d{8}[Tt ]"), F.array(F.lit("compact")))
-        .when(like(r"^\d{10}"), F.array(F.lit("number")))
+        F.when(F.col("a").isNotNull(), F.array_compact(F.array(F.when(dmy, "dmy"), F.when(mdy, "mdy"))))
+        .when(begins("0000-", "0000/"), F.array(F.lit("ymd")))
+        .when(begins("000000"), F.array(F.when(F.col("long"), "number").otherwise("compact")))
+        .when(begins("0.", "00."), F.array(F.lit("dotted")))
+        .when(begins("0-", "00-", "0 ", "00 ") | (F.substring(shape, 4, 1) == ","), F.array(F.lit("named")))
+        .when(F.upper(F.substring(shape, 1, 1)).between("A", "Z"), F.array(F.lit("month")))
     )
-    return df.groupBy("i_source", notations.alias("notations")).agg(F.count("*").alias("n")).where(F.size("notations") > 0)
+    return counts.groupBy("i_source", notations.alias("notations")).agg(F.sum("n").alias("n")).where(F.size("notations") > 0)
 
 
 def fit_notations(counts: DataFrame, iterations: int = 50, prior: float = 0.5) -> DataFrame:
