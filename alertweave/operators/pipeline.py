@@ -73,8 +73,10 @@ def partition(rows: DataFrame, listed: DataFrame, edges: DataFrame, settings: Se
 
 
 def prepared(rows: DataFrame, listed: DataFrame, amap: DataFrame | None = None, aliases: DataFrame | None = None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """What all settings of a decay share: listings (row_id, entity, decoder_name, lo, hi) and candidate pairs (a, b, shared, dt)."""
-    kept = materialise(pruned(materialise(row_entities(listed, amap, aliases)), rows.count(), settings))
+    """What all settings of a decay share: listings (row_id, entity, lo, hi) and candidate pairs (a, b, shared, dt)."""
+    resolved = materialise(row_entities(listed, amap, aliases))
+    stats = prune.entity_stats(resolved, rows.count(), settings.max_rows_share, settings.max_decoders)
+    kept = materialise(prune.discriminating(resolved, stats).drop("decoder_name"))
     return kept, materialise(graph.timed_pairs(kept))
 
 

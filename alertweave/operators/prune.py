@@ -22,8 +22,8 @@ def entity_stats(listed: DataFrame, n_rows: int, share: float = 0.10, max_decode
 
 
 def discriminating(listed: DataFrame, stats: DataFrame) -> DataFrame:
-    """The listings whose entity isn't dropped."""
-    return listed.join(stats.where("not dropped").select("entity"), "entity", "left_semi")
+    """The listings whose entity isn't dropped; the dropped ones are the few, so they are what is joined."""
+    return listed.join(stats.where("dropped").select("entity"), "entity", "left_anti")
 
 
 def bridge_filter(members: DataFrame, n_clusters: int, total_alerts: int, cluster_share: float = 0.5, alert_share: float = 0.3, max_decoders: int = 4, max_same: int = 2) -> DataFrame:

@@ -60,7 +60,7 @@ def test_a_run_parts_incidents_by_time(spark):
 
 
 def test_sweep_and_comparison(spark, monkeypatch):
-    monkeypatch.setattr(pipeline, "pruned", lambda listed, n, s=None: listed)
+    monkeypatch.setattr(pipeline.prune, "entity_stats", lambda listed, *_: listed.select("entity").distinct().withColumn("dropped", F.lit(False)))
     hits = spark.createDataFrame([(i, "one") for i in range(5)] + [(10 + i, "two") for i in range(5)], "row_id bigint, scenario string")
     scenarios = spark.createDataFrame([("one",), ("two",), ("three",)], "scenario string")
     configs = [("A", pipeline.Settings(kind="none", tau=None)), ("B", pipeline.Settings(tau=300.0))]
