@@ -83,6 +83,16 @@ def test_isolated_rows(spark):
     assert rows(community.detect_communities(nodes, edges.limit(0)), "node", "community") == {(1, 1), (2, -1), (3, 3), (4, 4)}
 
 
+def test_pairs_travel_as_listings(spark):
+    """Each pair once with all that it shares, though no shuffle has more rows than there are listings."""
+    listed = [(i, f"e{k}", float(i), float(i)) for i in range(60) for k in {0, 1 + i % 2, 3 + i % 3}]
+    df = spark.createDataFrame(listed, "row_id bigint, entity string, lo double, hi double")
+    pairs = graph.timed_pairs(df)
+    assert rows(pairs, "a", "b", "shared", "dt") == {(a, b, 1 + (a % 2 == b % 2) + (a % 3 == b % 3), float(b - a)) for a in range(60) for b in range(a + 1, 60)}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("Aggregate")  # from the top: nothing is grouped after pairs are made
+
+
 @pytest.mark.parametrize("batch", [community.BATCH, 0])  # in one task, and in rounds
 def test_components_of_a_long_path_and_two_cliques(spark, monkeypatch, batch):
     monkeypatch.setattr(community, "BATCH", batch)
@@ -211,6 +221,19 @@ def test_quantiles_histograms_and_places(spark):
     assert rows(eda.respaced(df, "ts", "id", 8.0), "id", "offset_s") == {(i, 2.0 * i) for i in range(5)}
 
 
+@pytest.mark.parametrize(("sketch", "most"), [(4, 20_000), (2_000, 500)])  # brackets of all values, and of a few
+def test_quantiles_tell_few_values_apart(spark, monkeypatch, sketch, most):
+    kept, write = [], eda.materialise
+    monkeypatch.setattr(eda, "SKETCH", sketch)
+    monkeypatch.setattr(eda, "materialise", lambda df: kept.append(write(df)) or kept[-1])
+    many = spark.range(40_001).select(F.when(F.col("id") < 101, float("nan")).when(F.col("id") < 20_000, 0.0).otherwise(F.col("id") / 7).alias("x"))
+    got = eda.quantiles(many, "x", {"lo": 0.0, "m": 0.6, "p": 0.99633, "hi": 1.0}).first()
+    want = many.agg(*(F.round(F.percentile("x", F.lit(q)), 6) for q in (0.0, 0.6, 0.99633))).first()
+    assert list(got)[:3] == list(want) and got.hi != got.hi  # the largest is no number
+    assert kept[-1].count() <= most + 20
+    assert list(eda.quantiles(many.limit(0), "x", {"a": 0.5, "b": 0.9}).first()) == [None, None]
+
+
 def test_ndjson_counts_bad_lines(spark, tmp_path):
     (tmp_path / "a.json").write_bytes(b'{"a":1}\n\n{bad\n"\xff"\n{"a":"\xc3\xa9"}\n')
     lines = readers.ndjson(spark, str(tmp_path / "a.json"))
