@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import json
+import random
 
 import numpy as np
 import pytest
@@ -83,6 +84,19 @@ def test_isolated_rows(spark):
     assert rows(community.detect_communities(nodes, edges.limit(0)), "node", "community") == {(1, 1), (2, -1), (3, 3), (4, 4)}
 
 
+def test_runs_join_what_pairs_join(spark):
+    """Gaps above the reach, reversed and null bounds, an entity above the cap; the runs' components are those of the pairs."""
+    rnd = random.Random(5)
+    spans = [(i, rnd.uniform(0, 400), rnd.choice([0.0, 3.0, 30.0, -1.0, -9.0, None])) for i in range(300)]
+    listed = [(i, f"e{rnd.randrange(150)}", None if rnd.random() < 0.02 else lo, None if d is None else lo + d) for i, lo, d in spans for _ in range(2)] + [(i, "wide", lo, lo) for i, lo, _ in spans[:9]]
+    df = spark.createDataFrame(sorted({(i, e): (i, e, lo, hi) for i, e, lo, hi in listed}.values(), key=str), "row_id bigint, entity string, lo double, hi double")
+    nodes = spark.range(300).withColumnRenamed("id", "node")
+    want = community.connected_components(nodes, graph.timed_pairs(df, 8).where("dt <= 6"))
+    got = rows(community.joined_components(nodes, graph.runs(df, lambda dt: dt <= 6, 8)), "node", "component")
+    assert got == rows(want, "node", "component") and 20 < len({c for _, c in got}) < 290
+    assert graph.runs(df, lambda dt: dt <= 6, 8).count() <= df.count() < 700
+
+
 def test_pairs_travel_as_listings(spark):
     """Each pair once with all that it shares, though no shuffle has more rows than there are listings."""
     listed = [(i, f"e{k}", float(i), float(i)) for i in range(60) for k in {0, 1 + i % 2, 3 + i % 3}]
