@@ -107,6 +107,19 @@ def test_pairs_travel_as_listings(spark):
     assert plan.index("explode") < plan.index("Aggregate")  # from the top: nothing is grouped after pairs are made
 
 
+def test_pairs_without_weight_are_not_made(spark):
+    """What isn't made weighs less than the least gain of a move all together, and communities are those of all pairs."""
+    rnd = random.Random(7)
+    spans = [(i, 40.0 * (i // 4) + rnd.uniform(0, 4), rnd.choice([0.0, 2.0, -1.0, None])) for i in range(80)]
+    listed = [(i, e, lo, None if d is None else lo + d) for i, lo, d in spans for e in (f"e{i % 3}", f"u{i // 8}", "all")]
+    df = spark.createDataFrame(listed, "row_id bigint, entity string, lo double, hi double")
+    every, near = (graph.weighted(x, "exponential", 5.0) for x in (graph.timed_pairs(df), graph.weighty_pairs(df, 5.0, community.LEAST_GAIN)))
+    got, want = (rows(x, "a", "b", "shared", "dt", "w") for x in (near, every))
+    assert got < want and 300 < len(got) < len(want) / 2 and sum(r[-1] for r in want - got) < community.LEAST_GAIN
+    nodes = spark.range(80).select(F.col("id").alias("node"), F.lit(True).alias("has_entity"))
+    assert rows(community.detect_communities(nodes, near), "node", "community") == rows(community.detect_communities(nodes, every), "node", "community")
+
+
 @pytest.mark.parametrize("batch", [community.BATCH, 0])  # in one task, and in rounds
 def test_components_of_a_long_path_and_two_cliques(spark, monkeypatch, batch):
     monkeypatch.setattr(community, "BATCH", batch)
@@ -325,6 +338,20 @@ def test_every_two_blocks_meet(spark):
         assert met == set(itertools.combinations(range(n), 2))
 
 
+def test_blocks_meet_where_edges_join_them(spark, monkeypatch):
+    """A chain of cliques cut into 12 blocks: each meets its neighbours only, not all others; no move is left."""
+    n, k = 36, 5
+    chain = [(k * i + x, k * i + y, 1.0) for i in range(n) for x, y in itertools.combinations(range(k), 2)] + [(k * i + k - 1, k * i + k, 0.3) for i in range(n - 1)]
+    edges = spark.createDataFrame(chain, "a bigint, b bigint, w double")
+    turns, optimised = [], community.materialise
+    monkeypatch.setattr(community, "materialise", lambda df: (turns.append(df.columns), optimised(df))[1])
+    got = rows(community.in_blocks(edges, sum(w for *_, w in chain), len(chain) // 12), "node", "community")
+    assert got == {(v, v - v % k) for v in range(n * k)} and sum(c == ["node", "community"] for c in turns) <= 9
+    assert community.met_in_turn([(0, 0), (0, 1), (1, 2), (2, 3), (4, 4)], 5) == [0, 0, 2, 2, 4]
+    monkeypatch.setattr(community, "MOST_PAIRS", 0)
+    assert rows(community.in_blocks(edges, sum(w for *_, w in chain), len(chain) // 3), "node", "community") == got
+
+
 def test_large_components_get_louvain_too(spark, monkeypatch):
     """Cliques in a ring, with members far apart by id: more edges than a task takes, the same communities."""
     n, k = 12, 6
