@@ -37,6 +37,24 @@ def test_entities_are_resolved_and_pruned(spark):
     assert pipeline.row_entities(listed(spark, data).limit(0), amap).count() == 0
 
 
+def test_listings_are_pruned_before_they_are_written(spark, monkeypatch):
+    """Names of one asset in one row count once, decoders over all its names; what goes is never written."""
+    names = {i: ["ip:a", "host:pca"] for i in (0, 3, 6)} | {10: ["ip:b"], 11: ["ip:b"], 12: ["host:pcb"], 13: ["host:pcb"], 20: ["ip:c", "user:m"], 21: ["host:pcc", "user:m"], 22: ["ip:c", "user:m"]}
+    data = [(i, i, i, f"d{i % 3}" if i < 30 else None, ["ip:all", "user:svc-backup", f"host:x{i // 2}", *names.get(i, [])]) for i in range(40)]
+    amap = spark.createDataFrame([("a", "pca", "s"), ("b", "pcb", "s"), ("c", "pcc", "s")], "ip string, host string, source string")
+    written = []
+    real = pipeline.materialise
+    monkeypatch.setattr(pipeline, "materialise", lambda df: (written.append(df), real(df))[1])
+    s = pipeline.Settings(max_decoders=2)
+    for m in (amap, None):
+        want = rows(pipeline.pruned(pipeline.row_entities(listed(spark, data), m), 40, s).drop("decoder_name"), "row_id", "entity", "lo", "hi")
+        written.clear()
+        kept, pairs = pipeline.prepared(spans(spark, data), listed(spark, data), m, settings=s)
+        assert rows(kept, "row_id", "entity", "lo", "hi") == want and kept.count() == len(want)
+        assert max(df.count() for df in written if "row_id" in df.columns) == len(want) < 60 and pairs.count() >= 20
+    assert rows(pipeline.prepared(spans(spark, data), listed(spark, data), amap, settings=s)[0].where("entity like 'asset%'"), "entity") == {("asset:pca",)}
+
+
 INCIDENTS = [
     *((i, 10 * i, 10 * i, "ab"[i % 2], ["user:eve", f"ip:{i}"]) for i in range(5)),
     *((10 + i, 50_000 + 10 * i, 50_000 + 10 * i, "a", ["user:eve", "ip:c2"]) for i in range(5)),
